@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noctiluca.llm.answers import defective, flag_pairs
+from noctiluca.llm.leakage import leaked, leaked_unchanged
+from noctiluca.llm.markup import clean_markup, residue
+from noctiluca.llm.repetition import repetition, repetitive
 from noctiluca.llm.similar_vectors import similar_pairs, similar_vectors
 
 
@@ -15,5 +19,37 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(similar_vectors(_read(spark, folder, "paper_vectors")))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue(clean_markup(_read(spark, folder, "papers")))
+
+
+def p2_clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_markup(_read(spark, folder, "papers"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defective(flag_pairs(_read(spark, folder, "questions")))
+
+
+def p3_all_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return flag_pairs(_read(spark, folder, "questions"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_unchanged(leaked(_read(spark, folder, "documents"), _read(spark, folder, "eval_items")))
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repetitive(repetition(_read(spark, folder, "documents")))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition(_read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p7_found, p7_leaks, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}
