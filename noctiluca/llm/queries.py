@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noctiluca.llm.answers import defective, flag_pairs
 from noctiluca.llm.leakage import leaked, leaked_unchanged
 from noctiluca.llm.markup import clean_markup, residue
+from noctiluca.llm.near_duplicates import grouped_pairs, near_duplicates
 from noctiluca.llm.repetition import repetition, repetitive
 from noctiluca.llm.similar_vectors import similar_pairs, similar_vectors
 
@@ -35,6 +36,14 @@ def p3_all_defects(spark: SparkSession, folder: str) -> DataFrame:
     return flag_pairs(_read(spark, folder, "questions"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_pairs(near_duplicates(_read(spark, folder, "papers")))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_read(spark, folder, "papers"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_unchanged(leaked(_read(spark, folder, "documents"), _read(spark, folder, "eval_items")))
 
@@ -51,5 +60,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p7_found, p7_leaks, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p5_found, p5_groups, p7_found, p7_leaks, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}
