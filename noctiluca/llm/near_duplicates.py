@@ -162,32 +162,34 @@ def shared_counts(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.array([i]), sizes, np.bincount(np.concatenate([holders[at[c] : at[c + 1]] for c in mine]), minlength=len(sets))[None, :]
 
 
-def compare_components(comps: DataFrame, sets: DataFrame, compare: Callable[[np.ndarray, list[np.ndarray], np.ndarray], list[tuple]], schema: str, chunk: int = CHUNK) -> DataFrame:
-    """Bring the sets of each component together and call ``compare(keys, sets, part)``, where part is 0 for the rows of
-    one chunk and 1 for those of another it is compared with (all 0 when a component fits in one chunk).
+def compare_components(comps: DataFrame, sets: DataFrame, compare: Callable[[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray], list[tuple]], schema: str, chunk: int = CHUNK) -> DataFrame:
+    """Bring the sets of each component together and call ``compare(keys, sets, part, flag)``, where part is 0 for the rows
+    of one chunk and 1 for those of another it is compared with (all 0 when a component fits in one chunk), and flag is
+    the column of that name in ``comps``, if there is one.
 
     Components are spread over a fixed number of tasks each of which gets many small ones; one of more than ``chunk`` sets
     is cut into chunks, and every two chunks meet in a task of their own."""
     names = [x.split()[0] for x in schema.split(",")]
+    comps = comps if "flag" in comps.columns else comps.withColumn("flag", F.lit(0))
     counted = comps.groupBy("component").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
     placed = comps.join(counted, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    met = placed.withColumn("other", partner).select(F.col("node").alias("key"), "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    met = placed.withColumn("other", partner).select(F.col("node").alias("key"), "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "flag")
     tasks = max(12, int(comps.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
     rows = sets.join(met, "key").withColumn("task", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "i", "j")))
 
     def each(group: pa.Table) -> pa.Table:
-        frame = group.select(["component", "i", "j", "chunk", "key", "set"]).to_pandas().drop_duplicates(["component", "i", "j", "key"]).sort_values(["component", "i", "j", "chunk", "key"], kind="stable")
+        frame = group.select(["component", "i", "j", "chunk", "key", "set", "flag"]).to_pandas().drop_duplicates(["component", "i", "j", "key"]).sort_values(["component", "i", "j", "chunk", "key"], kind="stable")
         out: list[tuple] = []
         for (_, i, _), own in frame.groupby(["component", "i", "j"], sort=False):
-            out += compare(own["key"].to_numpy(), [np.frombuffer(s, np.uint32) for s in own["set"]], (own["chunk"].to_numpy() != i).astype(np.int8))
+            out += compare(own["key"].to_numpy(), [np.frombuffer(s, np.uint32) for s in own["set"]], (own["chunk"].to_numpy() != i).astype(np.int8), own["flag"].to_numpy())
         return pa.table(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names}, schema=pa.schema([(x.split()[0], {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[x.split()[1]]) for x in schema.split(",")]))
 
     return rows.groupBy("task").applyInArrow(each, schema)
 
 
-def _links(likeness: float) -> Callable[[np.ndarray, list[np.ndarray], np.ndarray], list[tuple]]:
-    def compare(keys: np.ndarray, sets: list[np.ndarray], part: np.ndarray) -> list[tuple]:
+def _links(likeness: float) -> Callable[[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray], list[tuple]]:
+    def compare(keys: np.ndarray, sets: list[np.ndarray], part: np.ndarray, flag: np.ndarray) -> list[tuple]:
         """Links that connect what is alike, and per set its number of links here (as a link to itself)."""
         forest, out = Forest(len(sets)), []
         count = np.zeros(len(sets), np.int64)

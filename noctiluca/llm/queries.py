@@ -10,6 +10,7 @@ from noctiluca.llm.markup import clean_markup, residue
 from noctiluca.llm.near_duplicates import grouped_pairs, near_duplicates
 from noctiluca.llm.repetition import repetition, repetitive
 from noctiluca.llm.similar_vectors import similar_pairs, similar_vectors
+from noctiluca.llm.split_overlap import overlap_report, overlapping_pairs, overlapping_records, split_overlap
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -36,6 +37,19 @@ def p3_all_defects(spark: SparkSession, folder: str) -> DataFrame:
     return flag_pairs(_read(spark, folder, "questions"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlapping_pairs(*split_overlap(_read(spark, folder, "papers"), _read(spark, folder, "paper_splits")))
+
+
+def p4_records(spark: SparkSession, folder: str) -> DataFrame:
+    return overlapping_records(*split_overlap(_read(spark, folder, "papers"), _read(spark, folder, "paper_splits")))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    papers, splits = _read(spark, folder, "papers"), _read(spark, folder, "paper_splits")
+    return overlap_report(overlapping_records(*split_overlap(papers, splits)), splits, papers)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_pairs(near_duplicates(_read(spark, folder, "papers")))
 
@@ -60,5 +74,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p5_found, p5_groups, p7_found, p7_leaks, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p7_found, p7_leaks, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}
