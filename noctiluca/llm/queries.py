@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from noctiluca.llm.answers import defective, flag_pairs
 from noctiluca.llm.leakage import leaked, leaked_unchanged
 from noctiluca.llm.markup import clean_markup, residue
+from noctiluca.llm.mixture import mix
+from noctiluca.llm.names import link_names, variant_pairs
 from noctiluca.llm.near_duplicates import grouped_pairs, near_duplicates
 from noctiluca.llm.repetition import repetition, repetitive
 from noctiluca.llm.similar_vectors import similar_pairs, similar_vectors
@@ -58,6 +60,14 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "papers"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(link_names(_read(spark, folder, "papers")))
+
+
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return link_names(_read(spark, folder, "papers"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_unchanged(leaked(_read(spark, folder, "documents"), _read(spark, folder, "eval_items")))
 
@@ -66,6 +76,14 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetitive(repetition(_read(spark, folder, "documents")))
 
@@ -74,5 +92,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p7_found, p7_leaks, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}
