@@ -51,9 +51,13 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams_1_2(words: Column) -> Column:
-    """The words and the pairs of neighbouring words, joined by a blank."""
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.concat(words, pairs)
+    """The words and the pairs of neighbouring words, joined by a blank. The list is bound to a variable, so it is made once."""
+
+    def both(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return F.get(F.transform(F.array(words), both), 0)
 
 
 def split_list(c: Column, separator: str = ",") -> Column:

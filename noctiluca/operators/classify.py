@@ -46,11 +46,11 @@ def _features(text_col: str, limit: int) -> list:
     return [clean, split, pairs, both, CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=limit), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=1), Normalizer(inputCol="_idf", outputCol="features")]
 
 
-def train_svm(train: DataFrame, text_col: str = "combined_text", label_col: str = "category", c: float = 1.0, limit: int = VOCABULARY) -> PipelineModel:
+def train_svm(train: DataFrame, text_col: str = "combined_text", label_col: str = "category", c: float = 1.0, limit: int = VOCABULARY, rounds: int = 15) -> PipelineModel:
     """One linear support-vector classifier per label over tf-idf features; the regularisation is 1 / (c n)."""
     n = max(1, train.count())
     index = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error")
-    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * n), maxIter=30), featuresCol="features", labelCol="_label", predictionCol="_code")
+    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * n), maxIter=rounds), parallelism=4, featuresCol="features", labelCol="_label", predictionCol="_code")
     return _with_names(train, index, _features(text_col, limit), svm)
 
 
@@ -64,10 +64,15 @@ def train_network(train: DataFrame, text_col: str = "combined_text", label_col:
     return _with_names(train, index, [*stages, HashingTF(inputCol="_words", outputCol="_tf", numFeatures=hashed), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")], net)
 
 
-def _with_names(train: DataFrame, index: StringIndexer, stages: list, classifier) -> PipelineModel:
+def _with_names(train: DataFrame, index: StringIndexer, stages: list, classifier, partitions: int = 64) -> PipelineModel:
+    """Fit the stages, keep the features for the many passes of the classifier, and add the names of the labels. Features
+    are gathered in at most ``partitions`` parts when there are more, for every pass is a job over all parts."""
     fitted = index.fit(train)
-    model = Pipeline(stages=[*stages, classifier]).fit(fitted.transform(train))
-    return PipelineModel(stages=[*model.stages, IndexToString(inputCol="_code", outputCol="predicted", labels=fitted.labels)])
+    features = Pipeline(stages=stages).fit(train)
+    ready = fitted.transform(features.transform(train)).select("features", "_label").coalesce(partitions).persist()
+    model = classifier.fit(ready)
+    ready.unpersist()
+    return PipelineModel(stages=[*features.stages, model, IndexToString(inputCol="_code", outputCol="predicted", labels=fitted.labels)])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

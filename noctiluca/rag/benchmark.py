@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctiluca import schema
+from noctiluca.functions import text
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +17,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 def violations(questions: DataFrame) -> DataFrame:
     """(id, field, problem): a row for every required field that is missing and every value outside its enumeration. Gold
     lists may be empty but not null."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    blank = lambda c: F.col(c).isNull() | (text.strip(F.col(c)) == "")
     checks = [F.when(blank(c), F.struct(F.lit(c).alias("field"), F.lit("missing").alias("problem"))) for c in ("id", "question", "topic", "question_type", "difficulty", "reference_answer")]
     checks += [F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("field"), F.lit("missing").alias("problem"))) for c in ("gold_papers", "gold_chunks")]
     checks += [F.when(~blank(c) & ~F.col(c).isin(*allowed), F.struct(F.lit(c).alias("field"), F.lit("not allowed").alias("problem"))) for c, allowed in (("question_type", schema.QUESTION_TYPES), ("difficulty", schema.DIFFICULTIES))]
