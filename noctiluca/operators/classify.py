@@ -46,7 +46,7 @@ def _features(text_col: str, limit: int) -> list:
     return [clean, split, pairs, both, CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=limit), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=1), Normalizer(inputCol="_idf", outputCol="features")]
 
 
-def train_svm(train: DataFrame, text_col: str = "combined_text", label_col: str = "category", c: float = 1.0, limit: int = VOCABULARY, rounds: int = 15) -> PipelineModel:
+def train_svm(train: DataFrame, text_col: str = "combined_text", label_col: str = "category", c: float = 1.0, limit: int = VOCABULARY, rounds: int = 10) -> PipelineModel:
     """One linear support-vector classifier per label over tf-idf features; the regularisation is 1 / (c n)."""
     n = max(1, train.count())
     index = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error")

@@ -1,4 +1,4 @@
-"""All registered queries and their SQL counterparts."""
+"""Where queries register themselves, each with its SQL counterpart."""
 
 from __future__ import annotations
 
@@ -25,5 +25,3 @@ def query(sql: str | None = None) -> Callable:
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
-
-from noctiluca.plans import models, records, retrieval, sources, vectors  # noqa: E402, F401
