@@ -11,7 +11,7 @@ from noctiluca.llm.mixture import mix
 from noctiluca.llm.names import link_names, variant_pairs
 from noctiluca.llm.near_duplicates import grouped_pairs, near_duplicates
 from noctiluca.llm.repetition import repetition, repetitive
-from noctiluca.llm.similar_vectors import similar_pairs, similar_vectors
+from noctiluca.llm.similar_vectors import search_similar, similar_pairs, similar_vectors
 from noctiluca.llm.split_overlap import overlap_report, overlapping_pairs, overlapping_records, split_overlap
 
 
@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(similar_vectors(_read(spark, folder, "paper_vectors")))
 
 
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "paper_vectors")
+    return search_similar(vectors.where("paper_id % 50 = 0"), vectors)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue(clean_markup(_read(spark, folder, "papers")))
 
@@ -92,5 +97,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_clean_text, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_text, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}

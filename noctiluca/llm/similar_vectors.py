@@ -185,6 +185,99 @@ def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str =
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def search_similar(queries: DataFrame, vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, lines: int = 160, reach: float = 1.37, recall: float = 0.95, sample_rows: int = 32_768, block: int = 4096, seed: int = 13) -> DataFrame:
+    """(src_id, dst_id, sim, rank): for each query id its k most similar other ids at any similarity; ties by lower id.
+
+    Without a least similarity a neighbour may be hardly nearer than the rest, and cells would lose it; so every query is
+    counted against every vector. How far its windows have to reach follows from a bounded sample: the k-th best
+    similarity there is a lower bound of the k-th best of all, so no neighbour lies beyond that radius, and a vector at
+    that radius collides often enough with probability ``recall`` (nearer ones with a higher one). The arrays are the same
+    for all queries, only the windows differ. Queries are taken in blocks of ``block``, each broadcast to one pass over the
+    vectors, which are not shuffled. Unusable and repeated rows as in ``similar_vectors``.
+    """
+    spark = vectors.sparkSession
+    rows, asked = usable(vectors, id_col, vec_col, dim), usable(queries, id_col, vec_col, dim)
+    total = rows.count()
+    parts = 1 << 20
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < int(np.ceil(parts * min(1.0, 1.2 * sample_rows / max(total, 1))))).limit(sample_rows).toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], PAIRS + ", rank int")
+    shared = spark.sparkContext.broadcast((sample.column("id").to_numpy(), _unit(sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), dim).astype(np.float32)))
+    directions = np.random.default_rng(seed).standard_normal((lines, dim)).astype(np.float32)
+    low = collision_threshold(lines, reach, recall)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, some = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("id").to_numpy(zero_copy_only=False)
+                sim = _unit(batch.column("vec").flatten().to_numpy(zero_copy_only=False), dim).astype(np.float32) @ some.T
+                sim[own[:, None] == ids[None, :]] = -1
+                m = min(k, sim.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(np.partition(sim, -m, axis=1)[:, -m].astype(np.float64) - 1e-5 if m == k else np.full(len(own), -1.0))], names=["id", "vec", "least"])
+
+    def searcher(ids: np.ndarray, q: np.ndarray, least: np.ndarray):
+        held = spark.sparkContext.broadcast((ids, q, least))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, least = held.value
+            width = reach * np.sqrt(2 - 2 * least)
+            hq = (q.astype(np.float32) @ directions.T).astype(np.float64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, first = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_index=True)
+                x = _unit(batch.column("vec").flatten().to_numpy(zero_copy_only=False), dim)[first]
+                h = x.astype(np.float32) @ directions.T
+                order = np.argsort(h, axis=0, kind="stable")
+                arrays = np.take_along_axis(h, order, axis=0)
+                place = np.empty(order.shape, np.uint16 if len(own) < 65_000 else np.uint32)
+                np.put_along_axis(place, order, np.arange(len(own), dtype=place.dtype)[:, None], axis=0)
+                place = np.ascontiguousarray(place.T)
+                out = []
+                for at in range(0, len(ids), 64):
+                    here = slice(at, at + 64)
+                    counts = np.zeros((len(ids[here]), len(own)), np.uint8)
+                    for j in range(lines):
+                        left = np.searchsorted(arrays[:, j], hq[here, j] - width[here], "left")
+                        right = np.searchsorted(arrays[:, j], hq[here, j] + width[here], "right")
+                        counts += ((place[j][None, :] - left.astype(place.dtype)[:, None]) < (right - left).astype(place.dtype)[:, None]).view(np.uint8)
+                    a, b = np.nonzero(counts >= low)
+                    sim = np.concatenate([np.einsum("ij,ij->i", q[at + a[i : i + 65_536]], x[b[i : i + 65_536]]) for i in range(0, len(a), 65_536)] or [np.empty(0)])
+                    keep = (sim >= least[at + a]) & (ids[at + a] != own[b])
+                    a, b, sim = a[keep], b[keep], sim[keep]
+                    best = np.lexsort((own[b], -sim, a))
+                    a, b, sim = a[best], b[best], sim[best]
+                    top = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    out.append((ids[at + a[top]], own[b[top]], sim[top]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["src_id", "dst_id", "sim"])
+
+        return search
+
+    found = None
+    ids, vecs, least = [], [], []
+
+    def flush() -> DataFrame:
+        matrix = _unit(np.array(vecs, np.float64), dim)
+        one = rows.mapInArrow(searcher(np.array(ids, np.int64), matrix, np.maximum(np.array(least), -1.0)), PAIRS)
+        return one if found is None else found.unionByName(one)
+
+    for r in asked.mapInArrow(bound, "id bigint, vec array<float>, least double").toLocalIterator():
+        ids.append(r["id"])
+        vecs.append(r["vec"])
+        least.append(r["least"])
+        if len(ids) == block:
+            found = flush()
+            ids, vecs, least = [], [], []
+    if ids:
+        found = flush()
+    if found is None:
+        return spark.createDataFrame([], PAIRS + ", rank int")
+    best = found.groupBy("src_id", "dst_id").agg(F.max("sim").alias("sim"))
+    by = Window.partitionBy("src_id").orderBy(F.desc("sim"), "dst_id")
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """(paper_id_a, paper_id_b), a < b: every pair in which one is a neighbour of the other."""
     return neighbours.select(F.least("src_id", "dst_id").alias("paper_id_a"), F.greatest("src_id", "dst_id").alias("paper_id_b")).distinct()
