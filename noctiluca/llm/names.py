@@ -251,14 +251,12 @@ def similar_keys(keys: DataFrame, likeness: float, rows: int, recall: float, blo
         order = np.lexsort((row, token))
         token, row, mask = token[order], row[order], mask[order]
         seen: list[np.ndarray] = []
-        gap = 1
-        while gap < len(token):
-            at = np.flatnonzero(token[gap:] == token[:-gap])
-            if not len(at):
-                break
+        ends = np.searchsorted(token, token, "right")
+        gap, at = 1, np.arange(len(token))
+        while len(at := at[at + gap < ends[at]]):
             # one typing error changes at most three q-grams on either side
-            at = at[np.bitwise_count(mask[at] ^ mask[at + gap]) <= 6]
-            seen.append(np.unique(np.minimum(row[at], row[at + gap]) * len(words) + np.maximum(row[at], row[at + gap])))
+            near = at[np.bitwise_count(mask[at] ^ mask[at + gap]) <= 6]
+            seen.append(np.unique(np.minimum(row[near], row[near + gap]) * len(words) + np.maximum(row[near], row[near + gap])))
             gap += 1
         a, b = np.divmod(np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64), max(1, len(words)))
         near = [(words[x], words[y]) for x, y in zip(a, b, strict=True) if x != y and words[x][0] == words[y][0] and distance(words[x], words[y]) == 1]

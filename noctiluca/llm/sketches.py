@@ -157,13 +157,35 @@ class Forest:
         return True
 
 
+class Run:
+    """The sketches of one crowded run of rows, stored vertically. Rows that were reached leave it."""
+
+    def __init__(self, rows: np.ndarray, sketch: np.ndarray):
+        self.rows, self.sketch = rows, sketch
+        self.alive = np.ones(len(rows), bool)
+        self.planes = planes_of(sketch[rows])
+
+    def near(self, x: int, limit: int) -> np.ndarray:
+        """Places of the rows still here whose sketch is within the limit of row x's."""
+        bits = np.unpackbits(np.ascontiguousarray(self.sketch[x]).view(np.uint8), bitorder="little").astype(np.uint64)
+        return np.flatnonzero(lanes_within(self.planes ^ (np.uint64(0) - bits)[:, None], limit, len(self.rows)) & self.alive)
+
+    def leave(self, places: np.ndarray) -> None:
+        self.alive[places] = False
+        if self.alive.sum() * 2 < len(self.rows):
+            self.rows = self.rows[self.alive]
+            self.alive = np.ones(len(self.rows), bool)
+            self.planes = planes_of(self.sketch[self.rows])
+
+
 def near_in_block(token: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndarray, likeness: float, side: np.ndarray | None = None, crowded: int = 128) -> Iterator[tuple[int, int]]:
     """Pairs of rows that connect everything which shares a token and whose sketches are within the radius.
 
     ``token`` and ``row`` are postings; with ``side`` (0 or 1 per row) only pairs of different sides count. Runs of one
-    token are compared pair by pair in lanes; in a crowded run each row is compared with the bit planes of the run's rows
-    that are not connected with it yet, so a run of near copies costs little more than one pass. Yields fewer pairs than
-    there are rows."""
+    token are compared pair by pair in lanes. A crowded run is searched breadth-first: a row is compared at once with the
+    bit planes of all rows not reached yet, those within the radius leave the planes and are searched from in turn, so a
+    run of near copies costs little more than one pass; once a search reaches few, what is left of a run that isn't too
+    long is compared pair by pair. Yields fewer pairs than there are rows."""
     order = np.lexsort((row, token))
     token, row = token[order], row[order]
     first = np.r_[True, (token[1:] != token[:-1]) | (row[1:] != row[:-1])] if len(token) else np.empty(0, bool)
@@ -174,7 +196,7 @@ def near_in_block(token: np.ndarray, row: np.ndarray, size: np.ndarray, sketch:
     forest = Forest(n)
     keys: list[np.ndarray] = []
 
-    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def fits(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         ok = small >= likeness * large - 1e-9
         return ok if side is None else ok & (side[a] != side[b])
@@ -191,13 +213,10 @@ def near_in_block(token: np.ndarray, row: np.ndarray, size: np.ndarray, sketch:
                 if forest.join(x, y):
                     yield x, y
 
-    in_small = np.repeat(length <= crowded, length)
-    run = np.repeat(np.arange(len(begin)), length)
-    held = 0
-    for gap in range(1, int(min(crowded, length.max() if len(length) else 0))):
-        at = np.flatnonzero((run[gap:] == run[:-gap]) & in_small[gap:])
-        if not len(at):
-            break
+    ends = np.repeat(begin + length, length)
+    at = np.flatnonzero(np.repeat((length > 1) & (length <= crowded), length))
+    gap, held = 1, 0
+    while len(at := at[at + gap < ends[at]]):
         for part in range(0, len(at), 2_000_000):
             a, b = row[at[part : part + 2_000_000]], row[at[part : part + 2_000_000] + gap]
             ok = fits(a, b)
@@ -206,17 +225,29 @@ def near_in_block(token: np.ndarray, row: np.ndarray, size: np.ndarray, sketch:
             if held > 4_000_000:
                 yield from flush()
                 held = 0
+        gap += 1
     yield from flush()
     for k in np.flatnonzero(length > crowded):
-        rows = row[begin[k] : begin[k] + length[k]]
-        for at, x in enumerate(rows.tolist()):
-            rest = rows[at + 1 :]
-            mine = forest.root(x)
-            rest = rest[[forest.root(y) != mine for y in rest.tolist()]] if len(rest) else rest
-            rest = rest[fits(np.full(len(rest), x), rest)] if len(rest) else rest
-            for part in range(0, len(rest), 65_536):
-                some = rest[part : part + 65_536]
-                near = lanes_within(planes_of(sketch[some] ^ sketch[x]), limit, len(some))
-                for y in some[near].tolist():
-                    if forest.join(x, y):
-                        yield x, y
+        run = Run(row[begin[k] : begin[k] + length[k]], sketch)
+        while (left := np.flatnonzero(run.alive)).size:
+            start, before = int(left[0]), left.size
+            frontier = [int(run.rows[start])]
+            run.leave(np.array([start]))
+            while frontier and run.alive.any():
+                x = frontier.pop()
+                places = run.near(x, limit)
+                places = places[fits(x, run.rows[places])]
+                reached = run.rows[places].tolist()
+                if reached:
+                    run.leave(places)
+                    frontier += reached
+                    for y in reached:
+                        if forest.join(x, y):
+                            yield x, y
+            left = run.rows[run.alive]
+            if len(left) <= 32 * crowded and before - len(left) < before / 16:
+                a, b = np.triu_indices(len(left), 1)
+                ok = fits(left[a], left[b])
+                keys.append(np.minimum(left[a], left[b])[ok].astype(np.int64) * n + np.maximum(left[a], left[b])[ok])
+                yield from flush()
+                break
