@@ -107,11 +107,16 @@ class SlicedCounter:
 
 
 def planes_of(sketches: np.ndarray) -> np.ndarray:
-    """(BITS, words): the sketches stored vertically, bit plane by bit plane, a lane per sketch."""
+    """(BITS, words): the sketches stored vertically, bit plane by bit plane, a lane per sketch. Eight lanes' bytes make a
+    word, whose 8 x 8 bits are transposed by three masked exchanges."""
     lanes = -(-len(sketches) // 64) * 64
-    bits = np.zeros((lanes, BITS), np.uint8)
-    bits[: len(sketches)] = np.unpackbits(np.ascontiguousarray(sketches).view(np.uint8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+    flat = np.zeros((BITS // 8, lanes), np.uint8)
+    flat[:, : len(sketches)] = np.ascontiguousarray(sketches).view(np.uint8).T
+    x = flat.view(np.uint64)
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ t ^ (t << np.uint64(shift))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(BITS // 8, lanes // 8, 8).transpose(0, 2, 1)).reshape(BITS, lanes // 8).view(np.uint64)
 
 
 def lanes_within(planes: np.ndarray, limit: int, lanes: int, step: int = 64) -> np.ndarray:
@@ -206,8 +211,8 @@ def near_in_block(token: np.ndarray, row: np.ndarray, size: np.ndarray, sketch:
             return
         unique = np.unique(np.concatenate(keys))
         keys.clear()
-        for at in range(0, len(unique), 65_536):
-            a, b = np.divmod(unique[at : at + 65_536], n)
+        for at in range(0, len(unique), 32_768):
+            a, b = np.divmod(unique[at : at + 32_768], n)
             near = lanes_within(planes_of(sketch[a] ^ sketch[b]), limit, len(a))
             for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
                 if forest.join(x, y):
