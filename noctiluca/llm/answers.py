@@ -18,13 +18,13 @@ DEFECTS = ("empty", "question_copy", "refusal", "other_language", "truncated")
 FUNCTION_WORDS = {
     "en": "the of and to in is are was were that this it its for with as by on at from which be been or an not than whereas while how what why does do did can could would should who where when their they there these those has have had between into under within only about we our more most each but if then so out over after before because since no yes he she his her my your you i me am unless alone one once such both",
     "de": "der die das den dem des ein eine einen einem einer eines und oder nicht ist sind war waren wird werden wurde wurden mit von vom zu zum zur im in auf aus bei für durch über unter nach vor wie was warum welche welcher welches wer wo man sich es sie er wir ihr ich auch nur noch aber denn weil dass als am an beim kann können so sehr etwa diese dieser dieses dazu keine kein leider mir hier ohne lässt hat haben spielt welchen viele viel",
-    "fr": "le la les un une des du de et ou ne pas est sont était été être avec par pour dans sur sous aux au ce cette ces cet que qui quoi quel quelle quels quelles comment pourquoi où il elle ils elles on nous vous je se sa son ses leur leurs plus puis car mais donc si sans entre vers chez près d l n s qu c j m y en à cela fait bien peu très même comme ont formés notre votre",
+    "fr": "le la les un une des du de et ou ne pas est sont était été être avec par pour dans sur sous aux au ce cette ces cet que qui quoi quel quelle quels quelles comment pourquoi où il elle ils elles on nous vous je se sa son ses leur leurs plus puis car mais donc si sans entre vers chez près d l n s qu c j m en à cela fait bien peu très même comme ont formés notre votre",
     "es": "el la los las un una unos unas de del y o no es son era fue ser con por para en sobre al lo que qué quién cómo cuál cuáles dónde cuándo se su sus le les nos yo este esta estos estas ese esa más muy pero porque pues sin entre hasta desde han ha hay como ya apenas cada tan tiene tienen puede pueden cerca según también si tal ni mi desde nuestro",
 }
 _LANGUAGES = tuple(FUNCTION_WORDS)
 _WORDS_OF = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 #: Letters that occur in one of the languages and hardly in the others.
-_LETTERS = {"de": "ßäö", "fr": "èêàçùœ", "es": "ñ¿¡íó", "en": ""}
+_LETTERS = {"de": "ßäö", "fr": "èêàçùœ", "es": "ñíóáú", "en": ""}
 PLACEHOLDERS = frozenset("null none nil na n a nan tbd tba todo unknown no answer none given not given not available not applicable pending missing empty blank answer pending no response keine keine angabe ohne angabe entfällt aucune aucune réponse sans réponse sans objet ninguna sin respuesta no disponible no aplica nada xxx placeholder lorem ipsum to be added to be done to be determined to do".split()) | frozenset(
     ("n a", "no answer", "none given", "not given", "not available", "not applicable", "no response", "answer pending", "keine angabe", "ohne angabe", "keine antwort", "k a", "aucune réponse", "sans réponse", "sans objet", "sin respuesta", "no disponible", "no aplica", "s o", "s d", "to be added", "to be done", "to be determined", "to do", "no answer given", "no answer provided", "not provided", "nicht verfügbar", "non disponible", "pas de réponse", "à compléter", "por completar", "wird ergänzt", "lorem ipsum")
 )

@@ -126,7 +126,7 @@ def parse(text: str) -> Node:
         for m in _TAG.finditer(text):
             name, attrs = m["name"].lower(), m["attrs"].strip().rstrip("/")
             if name not in ELEMENTS or attrs and "=" not in attrs:
-                found.append(Node("odd_tag", m.start(), m.end(), None, name))
+                found.append(Node("odd_tag", m.start(), m.end(), (m.start() + 1, m.end() - 1), name))
             elif m["close"]:
                 while opened and opened[-1][0] != name and any(n == name for n, _ in opened):
                     n, o = opened.pop()
