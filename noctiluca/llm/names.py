@@ -101,9 +101,11 @@ def normal_form(name: str, given_names: frozenset[str]) -> tuple[str, str, str,
     if not parts:
         return "p|", "", "", False, []
     marks = []
+    # two or three capitals in a name that isn't all capitals are initials, even where they spell a short name
+    capitals = set() if name.upper() == name else {c.lower() for c in re.findall(r"\b[A-Z]{2,3}\b", name)}
     for p in parts:
         bare = p.rstrip(".")
-        short = len(bare) == 1 or len(bare) == 2 and bare not in FULL_NAMES and bare not in given_names and not p.endswith(".") or "." in bare
+        short = len(bare) == 1 or bare in capitals or len(bare) == 2 and bare not in FULL_NAMES and bare not in given_names and not p.endswith(".") or "." in bare
         marks.append("i" if short else "g" if bare in given_names or p.endswith(".") or bare in FULL_NAMES else "w")
     rest = [i for i, m in enumerate(marks) if m != "i"]
     given = -1
@@ -185,6 +187,18 @@ def stars(forms: list[tuple[tuple[str, str, str, bool], int, int, bool]], least:
         elif own:
             centres.append(i)
             out[i] = (i, 1.0)
+    # stars whose leaves are alike are one, unless some of their initials contradict each other: a centre may be a nickname
+    # or hold a typing error itself
+    for n, c in enumerate(centres):
+        for d in centres[:n]:
+            mine, theirs = ([i for i in order if forms[i][3] and out[i][0] == x] for x in (c, d))
+            if not mine or not theirs or (forms[c][0][1] or forms[c][0][2])[:1] != (forms[d][0][1] or forms[d][0][2])[:1]:
+                continue
+            further = [{(f[2] if f[1] else f[2][1:])[:1] for f, *_ in (forms[i] for i in group)} - {""} for group in (mine, theirs)]
+            if not (further[0] and further[1] and further[0] != further[1]) and any(monge_elkan(forms[i][0], forms[j][0]) >= least for i in mine for j in theirs):
+                for i in [i for i in order if out[i][0] == c]:
+                    out[i] = (d, out[i][1])
+                break
     return out
 
 
