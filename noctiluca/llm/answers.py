@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctiluca.llm.words import INVISIBLE, words
+from noctiluca.session import spread
 
 DEFECTS = ("empty", "question_copy", "refusal", "other_language", "truncated")
 
@@ -144,7 +145,7 @@ def flag_pairs(pairs: DataFrame, id_col: str = "id", question_col: str = "questi
             found = [defects(q, a) for q, a in zip(b["question"], b["answer"], strict=True)]
             yield pd.DataFrame({"id": b["id"], "defects": found, "defect": [d[0] if d else None for d in found]})
 
-    return flat.mapInPandas(flag, "id string, defects array<string>, defect string")
+    return spread(flat).mapInPandas(flag, "id string, defects array<string>, defect string")
 
 
 def defective(flagged: DataFrame) -> DataFrame:

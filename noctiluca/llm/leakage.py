@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctiluca.llm.words import WordIds, rolling, words
+from noctiluca.session import spread
 
 
 def myers_within(pattern: list[int], text: list[int], most: int) -> int | None:
@@ -133,6 +134,7 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """
     spark = documents.sparkSession
     flat = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    flat = spread(flat)
     slices: list[tuple[list[int], list[str]]] = [([], [])]
     size = 0
     for row in items.select(F.col(f"`{item_id_col}`").cast("bigint").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("i is not null and t is not null").distinct().toLocalIterator():

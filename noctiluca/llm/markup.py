@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noctiluca.session import spread
+
 STATES = ("plain", "html", "markdown", "wiki", "latex")
 DIALECTS = STATES[1:]
 
@@ -504,7 +506,7 @@ def clean_markup(records: DataFrame, id_col: str = "paper_id", fields: tuple[str
             result["paper_id"] = result["paper_id"].astype("Int64")
             yield result
 
-    return long.mapInPandas(clean, RESULT)
+    return spread(long).mapInPandas(clean, RESULT)
 
 
 def residue(cleaned: DataFrame) -> DataFrame:

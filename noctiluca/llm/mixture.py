@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noctiluca.session import cut
+from noctiluca.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges of this kind of vocabulary.
@@ -45,7 +45,7 @@ def count_tokens(documents: DataFrame, id_col: str, text_col: str, source_col: s
             sizes = [len(encoding.encode_ordinary(t)) if t and not t.isspace() else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": sizes, "weight": batch["weight"]})
 
-    return flat.where(F.col("doc_id").isNotNull()).mapInPandas(each, "doc_id bigint, source string, tokens bigint, weight double")
+    return spread(flat.where(F.col("doc_id").isNotNull())).mapInPandas(each, "doc_id bigint, source string, tokens bigint, weight double")
 
 
 def _cutoffs(ranked: DataFrame, wanted: dict[str, float], low: dict[str, float], width: float) -> dict[str, tuple[float, float]]:

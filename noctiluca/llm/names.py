@@ -18,10 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctiluca.llm.words import INVISIBLE
+from noctiluca.llm.words import INVISIBLE, mixed
+from noctiluca.session import cut, spread
 
 # Everyday short forms of given names (several full names are possible for some).
 NICKNAMES = """
@@ -232,11 +234,7 @@ def similar_keys(keys: DataFrame, likeness: float, rows: int, recall: float, blo
     bands = bands_for(likeness, rows, recall)
     rng = np.random.default_rng(29)
     factors = rng.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    import xxhash
-
-    from noctiluca.llm.words import mixed
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             key = batch.column("key").to_pylist()
@@ -276,7 +274,7 @@ def similar_keys(keys: DataFrame, likeness: float, rows: int, recall: float, blo
         near = [(words[x], words[y]) for x, y in zip(a, b, strict=True) if x != y and words[x][0] == words[y][0] and distance(words[x], words[y]) == 1]
         return pa.table({"a": pa.array([x for x, _ in near], pa.string()), "b": pa.array([y for _, y in near], pa.string())})
 
-    return keys.mapInArrow(spread, "block int, token bigint, mask bigint, key string").groupBy("block").applyInArrow(compare, "a string, b string").distinct()
+    return keys.mapInArrow(band, "block int, token bigint, mask bigint, key string").groupBy("block").applyInArrow(compare, "a string, b string").distinct()
 
 
 FORMS = "name string, times bigint, key string, given string, initials string, cut boolean, parts array<string>"
@@ -295,9 +293,7 @@ def link_names(records: DataFrame, authors_col: str = "authors", likeness: float
     spark = records.sparkSession
     blocks = blocks or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = author_names(records, authors_col)
-    from noctiluca.session import cut
-
-    names = cut(names)
+    names = spread(cut(names))
     given = spark.sparkContext.broadcast(_given_names(names, given_least, given_most))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,19 +22,19 @@ from noctiluca.llm.components import components
 from noctiluca.llm.markup import without_markup
 from noctiluca.llm.sketches import BITS, Forest, band_tokens, minima, near_in_block, one_bit_sketches, sequence_sets, set_keys
 from noctiluca.llm.words import WordIds
-from noctiluca.session import cut
+from noctiluca.session import cut, spread
 
 #: Largest number of sets of one component that one task compares; larger ones are compared chunk against chunk.
 CHUNK = 4096
 BLANK = r"^[\s\p{Z}\p{Cf}\p{Cc}]*$"
 
 
-def whole_texts(records: DataFrame, id_col: str, fields: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, the fields as f0, f1, ..., kept columns) of the records that have an id and no null or blank field."""
+def whole_texts(records: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
+    """(id, the fields as f0, f1, ...) of the records that have an id and no null or blank field."""
     some = F.col(f"`{id_col}`").isNotNull()
     for f in fields:
         some &= F.col(f"`{f}`").isNotNull() & ~F.col(f"`{f}`").rlike(BLANK)
-    return records.where(some).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)], *keep)
+    return spread(records.where(some).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)]))
 
 
 def batch_sets(batch: pa.RecordBatch, fields: int, n: int, known: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctiluca.llm.words import WordIds, mixed, rolling, words
+from noctiluca.session import spread
 
 LENGTHS = (3, 5, 10)
 
@@ -73,7 +74,7 @@ def repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out[f"repeated_{name}"] = [_repeated_units(t, pattern) if t else 0.0 for t in batch["text"]]
             yield out
 
-    return flat.mapInPandas(measure, schema)
+    return spread(flat).mapInPandas(measure, schema)
 
 
 def repetitive(measured: DataFrame, share: float = 0.3) -> DataFrame:

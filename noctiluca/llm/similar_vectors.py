@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noctiluca.session import spread
+
 PAIRS = "src_id bigint, dst_id bigint, sim double"
 
 
@@ -135,8 +137,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str =
         salts = 32
         heads = light.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("place") <= k + 1)
         big = classes.where(F.col("n") > k + 1).select("class").join(heads, "class").groupBy("class").agg(F.sort_array(F.collect_list("id")).alias("heads"))
-        spread = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        excess = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["class", "salt"]).where(~F.array_contains("heads", F.col("id")))
+        salted = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        excess = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["class", "salt"]).where(~F.array_contains("heads", F.col("id")))
         excess_links = excess.select(F.col("id").alias("src_id"), F.explode(F.slice("heads", 1, k)).alias("dst_id"), F.lit(1.0).alias("sim"))
         rows = rows.join(excess.select("id"), "id", "left_anti")
     cells = int(min(most_cells, max(1, total // cell_rows)))
@@ -177,7 +179,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str =
         q, p, s = neighbours_in_cell(ids[order], x, group.column("home").to_numpy(zero_copy_only=False)[order], directions, k, least)
         return pa.table({"src_id": ids[order][q], "dst_id": ids[order][p], "sim": s.astype(np.float64)})
 
-    links = rows.mapInArrow(assign, "cell int, chunk int, home boolean, id bigint, vec binary").groupBy("cell", "chunk").applyInArrow(search, PAIRS)
+    links = spread(rows).mapInArrow(assign, "cell int, chunk int, home boolean, id bigint, vec binary").groupBy("cell", "chunk").applyInArrow(search, PAIRS)
     if excess_links is not None:
         links = links.unionByName(excess_links)
     best = links.groupBy("src_id", "dst_id").agg(F.max("sim").alias("sim"))
@@ -259,7 +261,7 @@ def search_similar(queries: DataFrame, vectors: DataFrame, id_col: str = "paper_
 
     def flush() -> DataFrame:
         matrix = _unit(np.array(vecs, np.float64), dim)
-        one = rows.mapInArrow(searcher(np.array(ids, np.int64), matrix, np.maximum(np.array(least), -1.0)), PAIRS)
+        one = spread(rows).mapInArrow(searcher(np.array(ids, np.int64), matrix, np.maximum(np.array(least), -1.0)), PAIRS)
         return one if found is None else found.unionByName(one)
 
     for r in asked.mapInArrow(bound, "id bigint, vec array<float>, least double").toLocalIterator():
