@@ -77,7 +77,7 @@ _RULES: tuple[tuple[str, str, str], ...] = (
     ("dash_item", "", r"(?m:^)[ \t]*[-+][ \t]+(?P<in>[^\n]+)"),
     ("number_item", "", r"(?m:^)[ \t]*\d{1,3}[.)][ \t]+(?P<in>[^\n]+)"),
     ("quote_line", ">", r"(?m:^)>[ \t]?(?P<in>[^\n]*)"),
-    ("hard_break", "  \n", r"(?<=\S)[ ]{2,}\n"),
+    ("hard_break", "  \n", r"(?<=\S)[ ]{2,}\n(?=\s*\S)"),
     # signs that only look like markup
     ("class_star", "*", r"(?<=\w)\*(?!\*)|(?<=\s)\*(?=\s)"),
     ("price", "$", r"\$(?=\d)"),
@@ -226,10 +226,10 @@ def _labelled_page(words: list[str], rng: random.Random) -> list[tuple[str, str]
     w = lambda a=1, b=1: " ".join(rng.choice(words) for _ in range(rng.randint(a, max(a, b))))
     inline = {
         "html": [lambda: f"<b>{w()}</b>", lambda: f"<em>{w(1, 3)}</em>", lambda: f'<a href="http://x.example/{w()}">{w()}</a>', lambda: f"{w()}<sup>{rng.randint(1, 9)}</sup>", lambda: rng.choice(["&amp;", "&nbsp;", "&#8217;", "&lt;", "&gt;", "&ldquo;"]), lambda: "<br>", lambda: f"<p>{w(3, 6)} <i>{w()}</i></p>", lambda: f"<ul><li>{w(2, 4)}</li><li>{w(2, 4)}</li></ul>", lambda: "<!-- note -->"],
-        "markdown": [lambda: f"**{w()}**", lambda: f"*{w(1, 2)}*", lambda: f"_{w()}_", lambda: f"~~{w()}~~", lambda: f"`{w()}`", lambda: f"[{w()}](http://x.example/{w()})", lambda: f"[{w()}][ref]", lambda: "[^2]", lambda: f"![{w()}](f.png)", lambda: f"\n\n## {w()}\n\n", lambda: f"\n\n- {w(3, 6)}\n- {w(3, 6)}\n\n", *[lambda: f"\n\n* {w(3, 6)}\n* {w(3, 6)} **{w()}**\n\n"] * 4, lambda: f"\n\n1. {w(3, 6)}\n2. {w(3, 6)}\n\n", lambda: f"\n\n```\n{w(3)}\n```\n\n", lambda: f"\n\n> {w(4, 8)}\n\n", lambda: f"\n\n{w()}\n-----\n", lambda: f"\n\n| {w()} | {w()} |\n|---|---|\n| 1 | 2 |\n\n"],
+        "markdown": [lambda: f"**{w()}**", lambda: f"*{w(1, 2)}*", lambda: f"_{w()}_", lambda: f"~~{w()}~~", lambda: f"`{w()}`", lambda: f"[{w()}](http://x.example/{w()})", lambda: f"[{w()}][ref]", lambda: "[^2]", lambda: f"![{w()}](f.png)", lambda: f"\n\n## {w()}\n\n", lambda: f"\n\n- {w(3, 6)}\n- {w(3, 6)}\n\n", *[lambda: f"\n\n* {w(3, 6)}\n* {w(3, 6)} **{w()}**\n\n"] * 4, lambda: f"\n\n1. {w(3, 6)}\n2. {w(3, 6)}\n\n", lambda: f"\n\n```\n{w(3)}\n```\n\n", lambda: f"\n\n> {w(4, 8)}\n\n", lambda: f"{w()}.  \n{w(3, 6)}.  \n{w()}", lambda: f"\n\n{w()}\n-----\n", lambda: f"\n\n| {w()} | {w()} |\n|---|---|\n| 1 | 2 |\n\n"],
         "wiki": [lambda: f"[[{w()}]]", lambda: f"[[{w()}|{w()}]]", lambda: f"''{w()}''", lambda: f"'''{w()}'''", lambda: "{{" + w() + "}}", lambda: "__NOTOC__\n", lambda: f"[https://x.example {w()}]", lambda: f"\n== {w()} ==\n", lambda: f"\n* [[{w()}]] {w(3, 6)}\n* [[{w()}]] {w(2, 4)}\n", lambda: '\n{| class="a"\n|-\n| ' + w() + "\n|}\n"],
         "latex": [lambda: f"\\emph{{{w()}}}", lambda: f"\\textbf{{{w()}}}", lambda: f"{{\\bf {w()}}}", lambda: rng.choice(["$\\alpha = 2$", "$H_0$", "$x^2$", "$$a + b$$", "\\(x_1\\)"]), lambda: "~\\cite{ab12}", lambda: f"\\section{{{w()}}}", lambda: f"\\begin{{itemize}} \\item {w(2, 4)} \\end{{itemize}}", lambda: "\\,", lambda: "\\&"],
-        "plain": [lambda: f"{rng.randint(1, 9)}'' by {rng.randint(1, 9)}''", lambda: "A* and B*", lambda: f"about ~{rng.randint(2, 90)}", lambda: f"from ${rng.randint(2, 90)} to ${rng.randint(2, 90)}", lambda: "a_b_c", lambda: "R_50", lambda: "[Fe/H]", lambda: "{g, r}", lambda: "A|B", lambda: "x<y and y>z", lambda: "a < b", lambda: "H&K", lambda: f"#{rng.randint(1, 99)}", lambda: "a == b", lambda: "3 * n", lambda: f"{w()}.  \n{w()}"],
+        "plain": [lambda: f"{rng.randint(1, 9)}'' by {rng.randint(1, 9)}''", lambda: "A* and B*", lambda: f"about ~{rng.randint(2, 90)}", lambda: f"from ${rng.randint(2, 90)} to ${rng.randint(2, 90)}", lambda: "a_b_c", lambda: "R_50", lambda: "[Fe/H]", lambda: "{g, r}", lambda: "A|B", lambda: "x<y and y>z", lambda: "a < b", lambda: "H&K", lambda: f"#{rng.randint(1, 99)}", lambda: "a == b", lambda: "3 * n"],
     }
     kinds = rng.choices(("none", "one", "two"), (3, 6, 1))[0]
     chosen = [] if kinds == "none" else rng.sample(DIALECTS, 1 if kinds == "one" else 2)

@@ -21,6 +21,8 @@ def model():
         ("A **bold** word and a [link](http://x.example/y)", ["markdown"], "A bold word and a link"),
         ("## Data\n\n- one two\n- three four", ["markdown"], "## Data\n\n- one two\n- three four"),
         ("see\n\n```\na = 1\n```\n\nend", ["markdown"], "see\n\n```\na = 1\n```\n\nend"),
+        ("One line.  \nAnother line.  \nA third.", ["markdown"], "One line.\nAnother line.\nA third."),
+        ("padded text  \n", [], "padded text"),
         ("Text [[File:a.png|thumb]] on ''dust'' and [[halo|haloes]]", ["wiki"], "Text on dust and haloes"),
         ("== Aims ==\nStars\n* [[One]] is\n* [[Two]] is", ["wiki"], "## Aims\n\nStars\n- One is\n- Two is"),
         ("As \\emph{shown} by~\\cite{ab1} the \\textbf{halo} of $H_0$", ["latex"], "As shown by the halo of $H_0$"),
@@ -34,7 +36,7 @@ def test_dialects_and_text(model, text, found, clean):
     assert out == clean
 
 
-@pytest.mark.parametrize("text", ["A* and B* type nuclei", "from $40 to $83 a night", "prices of $9, $12 and $88", "5'' by 7'' wide", "pairs with x<y and y>z were dropped", "For 2.0 < z < 3.4 it", "R_50 and snr_r_band_ok", "the H&K emitters, R&D", "[Fe/H] = -1 and note [12]", "bands {g, r, i} and [u, z]", "Field #415, item #3", "if a == b then", "about ~83 per cent", "appendix A|B", "3 * n * m", "one.  \ntwo."])
+@pytest.mark.parametrize("text", ["A* and B* type nuclei", "from $40 to $83 a night", "prices of $9, $12 and $88", "5'' by 7'' wide", "pairs with x<y and y>z were dropped", "For 2.0 < z < 3.4 it", "R_50 and snr_r_band_ok", "the H&K emitters, R&D", "[Fe/H] = -1 and note [12]", "bands {g, r, i} and [u, z]", "Field #415, item #3", "if a == b then", "about ~83 per cent", "appendix A|B", "3 * n * m"])
 def test_lookalikes_stay(model, text):
     out, dialects, _ = clean_field(text, model)
     assert dialects == []
