@@ -40,6 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many parts as there are cores. Only an input of few, small files is dealt out; anything larger
-    comes in more parts and stays as it is."""
+    comes in more parts and stays as it is, and so does what comes out of a shuffle."""
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
