@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noctiluca.llm.markup import without_elements
 from noctiluca.llm.words import WordIds, rolling, words
 from noctiluca.session import spread
 
@@ -62,7 +63,7 @@ def split_items(item_ids: list[int], texts: list[str], passage: int, edits: int)
     """Pieces of floor((passage + 1) / (edits + 2)) words: any passage then holds edits + 1 whole aligned ones."""
     size = (passage + 1) // (edits + 2)
     known = WordIds()
-    arrays = [known.of(words(t)) for t in texts]
+    arrays = [known.of(words(without_elements(t))) for t in texts]
     starts = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int64)
     ids = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
     at = np.concatenate([np.arange(s, e - size + 1, size) for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s >= passage - edits] or [np.empty(0, np.int64)]).astype(np.int64)
@@ -151,7 +152,7 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             known = WordIds()
             for batch in batches:
-                split = [words(t) for t in batch["text"]]
+                split = [words(without_elements(t)) for t in batch["text"]]
                 starts = np.r_[0, np.cumsum([len(w) for w in split])].astype(np.int64)
                 rows = find_passages(known.of([w for ws in split for w in ws]), starts, shared.value)
                 if rows:

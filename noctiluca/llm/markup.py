@@ -433,13 +433,13 @@ def render(text: str, tree: Node, taken: set[int], words: bool = False) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\u00a0\u2009]+", " ", re.sub(r"[ \t]*\n[ \t]*", "\n", out))).strip()
 
 
-def without_markup(text: str) -> str:
-    """The text as it counts for its words: every mark whose cue tells its own dialect is taken out."""
+def without_markup(text: str, dialects: tuple[str, ...] = DIALECTS) -> str:
+    """The text as it counts for its words: every mark whose cue tells its own dialect is taken out, if it is one of those."""
     for turn in range(3):
         if not _SUSPECT.search(text) and "#" not in text:
             break
         tree = parse(text)
-        taken = {id(n) for n in walk(tree) if n.cue in OWN_DIALECT and (not turn or OWN_DIALECT[n.cue] == "html")}
+        taken = {id(n) for n in walk(tree) if OWN_DIALECT.get(n.cue) in dialects and (not turn or OWN_DIALECT[n.cue] == "html")}
         if not taken:
             break
         again = any(n.cue == "entity" for n in walk(tree))
@@ -449,6 +449,11 @@ def without_markup(text: str) -> str:
     return INVISIBLE.sub("", text)
 
 
+def without_elements(text: str) -> str:
+    """The text without HTML elements and entities; other marks consist of signs that are no words."""
+    return without_markup(text, ("html",)) if "<" in text or "&" in text else text
+
+
 def clean_field(text: str, model: TreeModel) -> tuple[str, list[str], dict[str, float]]:
     """(clean text, dialects found, marginal of each dialect's surest mark)."""
     surest = dict.fromkeys(DIALECTS, 0.0)

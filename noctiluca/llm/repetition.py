@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noctiluca.llm.markup import without_elements
 from noctiluca.llm.words import WordIds, mixed, rolling, words
 from noctiluca.session import spread
 
@@ -59,7 +60,8 @@ def repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordIds()
         for batch in batches:
-            split = [words(t) if t else [] for t in batch["text"]]
+            texts = [without_elements(t) if t else "" for t in batch["text"]]
+            split = [words(t) for t in texts]
             sizes = np.array([len(w) for w in split], np.int64)
             flat_words = [w for ws in split for w in ws]
             ids, owner = known.of(flat_words), np.repeat(np.arange(len(split)), sizes)
@@ -71,7 +73,7 @@ def repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out[f"repeated_words_{n}"] = np.bincount(owner, covered, len(split)).astype(np.int64)
                 out[f"repeated_chars_{n}"] = np.bincount(owner, covered * chars, len(split)) / np.maximum(all_chars, 1)
             for name, pattern in (("lines", r"\n+"), ("paragraphs", r"\n\s*\n"), ("sentences", r"(?<=[.!?])\s+|\n+")):
-                out[f"repeated_{name}"] = [_repeated_units(t, pattern) if t else 0.0 for t in batch["text"]]
+                out[f"repeated_{name}"] = [_repeated_units(t, pattern) for t in texts]
             yield out
 
     return spread(flat).mapInPandas(measure, schema)

@@ -36,12 +36,12 @@ def test_later_occurrences(docs, n):
 def test_repetition_table(spark):
     schema = "doc_id bigint, text string, words int, repeated_words_5 string"
     sentence = "the bright stars of the old halo move slowly"
-    rows = [(1, f"{sentence}. {sentence}. {sentence}.", 0, ""), (2, sentence, 0, ""), (3, None, None, None), (4, "", 0, ""), (5, "\u200b ", 0, ""), (6, "a b c d e f g " * 20_000, 0, ""), (2, sentence, 0, ""), (None, f"{sentence} {sentence}", 0, "")]
+    rows = [(1, f"{sentence}. {sentence}. {sentence}.", 0, ""), (2, sentence, 0, ""), (3, None, None, None), (4, "", 0, ""), (5, "\u200b ", 0, ""), (6, "a b c d e f g " * 20_000, 0, ""), (7, "one <b>two</b> three four five. one two three four <i>five</i>", 0, ""), (2, sentence, 0, ""), (None, f"{sentence} {sentence}", 0, "")]
     out = repetition(spark.createDataFrame(rows, schema))
     assert out.count() == len(rows)
     one = out.where("doc_id = 1").first()
     assert one["words"] == 27 and one["repeated_words_5"] == 18 and abs(one["repeated_sentences"] - 2 / 3) < 1e-9
-    assert {r["doc_id"] for r in repetitive(out).collect()} == {1, 6}
+    assert {r["doc_id"] for r in repetitive(out).collect()} == {1, 6, 7}
     assert repetition(spark.createDataFrame([], schema)).count() == 0
 
 
@@ -77,13 +77,14 @@ def test_leakage_against_brute_force(spark):
                 part[rng.randrange(len(part))] = "other"
             body[len(body) // 2 : len(body) // 2] = part
         docs.append((d, ", ".join(w.upper() if d % 5 == 0 else w + "\u00ad" for w in body), 1, "z"))
+    docs += [(d + 1000, text.replace(" ", " <b>", 1).replace(", ", "</b>, ", 1), 1, "z") for d, text, *_ in docs[:40]]
     docs += [docs[1], (500, None, 1, "z"), (501, "", 1, "z"), (None, items[0][1], 1, "z")]
     schema, item_schema = "doc_id bigint, text string, item_id int, edits string", "item_id bigint, text string, doc_id int"
     item_rows = [(i, t, 7) for i, t in items] + [(900, None, 7), (901, "", 7), (None, "a b", 7), (items[0][0], items[0][1], 7)]
     df, it = spark.createDataFrame(docs, schema), spark.createDataFrame(item_rows, item_schema)
     exact, near = set(), set()
     for d, text, *_ in docs:
-        w = words(text or "")
+        w = words((text or "").replace("<b>", "").replace("</b>", ""))
         for i, t in items:
             p = words(t)
             for s in range(len(p) - 11):
