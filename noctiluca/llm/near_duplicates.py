@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from noctiluca.llm.components import components
 from noctiluca.llm.markup import without_markup
 from noctiluca.llm.sketches import BITS, Forest, band_tokens, minima, near_in_block, one_bit_sketches, sequence_sets, set_keys
-from noctiluca.llm.words import WordIds
+from noctiluca.llm.words import WordIds, mixed
 from noctiluca.session import cut, spread
 
 #: Largest number of sets of one component that one task compares; larger ones are compared chunk against chunk.
@@ -37,48 +37,51 @@ def whole_texts(records: DataFrame, id_col: str, fields: tuple[str, ...]) -> Dat
     return spread(records.where(some).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)]))
 
 
-def batch_sets(batch: pa.RecordBatch, fields: int, n: int, known: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, starts, key) of the records of a batch; texts too short for a sequence have an empty set."""
-    parts = [batch.column(f"f{i}").to_pylist() for i in range(fields)]
-    texts = [". ".join(map(without_markup, row)) for row in zip(*parts, strict=True)]
-    tokens, starts = sequence_sets(texts, n, known)
-    return tokens, starts, set_keys(tokens, starts)
-
-
-def _pick(tokens: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = (starts[1:] - starts[:-1])[rows]
-    out = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-    return tokens[np.repeat(starts[rows] - out[:-1], sizes) + np.arange(out[-1])], out
-
-
-def keys_of(texts: DataFrame, fields: int, n: int) -> DataFrame:
-    """(id, key): which set a record has; records with an empty set are left out."""
+def parsed_sets(texts: DataFrame, fields: int, n: int) -> DataFrame:
+    """(id, key, set[, side]): each text's distinct n-word sequences as packed 32-bit hashes, and a 64-bit key of the whole
+    set; texts too short for a sequence are left out. Written to the shared folder, so that texts are parsed once."""
+    side = ["side"] if "side" in texts.columns else []
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
         for batch in batches:
-            tokens, starts, key = batch_sets(batch, fields, n, known)
+            parts = [batch.column(f"f{i}").to_pylist() for i in range(fields)]
+            tokens, starts = sequence_sets([". ".join(map(without_markup, row)) for row in zip(*parts, strict=True)], n, known)
+            key = set_keys(tokens, starts).view(np.int64)
             full = np.flatnonzero(starts[1:] > starts[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(full)), pa.array(key[full].view(np.int64))], names=["id", "key"])
+            short = (tokens >> np.uint64(16)).astype(np.uint32)
+            take = pa.array(full)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), pa.array(key[full]), pa.array([short[starts[i] : starts[i + 1]].tobytes() for i in full], pa.binary()), *[batch.column(c).take(take) for c in side]], names=["id", "key", "set", *side])
+
+    return cut(texts.mapInArrow(each, "id bigint, key bigint, set binary" + ", side int" * bool(side)))
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, starts) of packed sets; tokens are spread over 64 bits."""
+    held = column.to_pylist()
+    return mixed(np.frombuffer(b"".join(held), np.uint32).astype(np.uint64)), np.r_[0, np.cumsum([len(x) // 4 for x in held])].astype(np.int64)
 
-    return texts.select("id", *[f"f{i}" for i in range(fields)]).mapInArrow(each, "id bigint, key bigint")
+
+def _pick(tokens: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = (starts[1:] - starts[:-1])[rows]
+    out = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    return tokens[np.repeat(starts[rows] - out[:-1], sizes) + np.arange(out[-1])], out
 
 
-def postings(texts: DataFrame, fields: int, n: int, blocks: int, tokens_of: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], side: bool = False) -> DataFrame:
+def postings(parsed: DataFrame, blocks: int, tokens_of: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], side: bool = False) -> DataFrame:
     """(block, data): per batch and block one record with the sets, sketches and tokens that fall into the block."""
-    columns = [f"f{i}" for i in range(fields)] + (["side"] if side else [])
+    columns = ["key", "set"] + (["side"] if side else [])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds()
         for batch in batches:
-            tokens, starts, key = batch_sets(batch, fields, n, known)
-            mine = batch.column("side").to_numpy(zero_copy_only=False).astype(np.uint64) if side else np.zeros(len(key), np.uint64)
-            full = np.flatnonzero(starts[1:] > starts[:-1])
-            if not len(full):
+            if not batch.num_rows:
                 continue
-            full = full[np.unique(np.stack([key[full], mine[full]], 1), axis=0, return_index=True)[1]]
-            tokens, starts = _pick(tokens, starts, full)
-            key, mine, sizes = key[full], mine[full], np.diff(starts)
+            tokens, starts = unpacked(batch.column("set"))
+            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            mine = batch.column("side").to_numpy(zero_copy_only=False).astype(np.uint64) if side else np.zeros(len(key), np.uint64)
+            first = np.unique(np.stack([key, mine], 1), axis=0, return_index=True)[1]
+            tokens, starts = _pick(tokens, starts, first)
+            key, mine, sizes = key[first], mine[first], np.diff(starts)
             m = minima(tokens, starts, BITS)
             sketch = one_bit_sketches(m)
             lists = tokens_of(tokens, starts, m)
@@ -99,7 +102,7 @@ def postings(texts: DataFrame, fields: int, n: int, blocks: int, tokens_of: Call
                 which.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
 
-    return texts.select(*columns).mapInArrow(each, "block int, data binary")
+    return parsed.select(*columns).mapInArrow(each, "block int, data binary")
 
 
 def candidate_edges(posted: DataFrame, likeness: float, side: bool = False) -> DataFrame:
@@ -129,19 +132,15 @@ def candidate_edges(posted: DataFrame, likeness: float, side: bool = False) -> D
     return posted.groupBy("block").applyInArrow(each, "a bigint, b bigint")
 
 
-def sets_of(texts: DataFrame, fields: int, n: int) -> DataFrame:
-    """(key, set): the members of each distinct set as packed 32-bit hashes; a set may come once per batch."""
+def sets_of(parsed: DataFrame) -> DataFrame:
+    """(key, set): each distinct set once per batch, so that a key of very many records is not a key of very many rows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds()
         for batch in batches:
-            tokens, starts, key = batch_sets(batch, fields, n, known)
-            full = np.flatnonzero(starts[1:] > starts[:-1])
-            full = full[np.unique(key[full], return_index=True)[1]]
-            short = (tokens >> np.uint64(16)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array([short[starts[i] : starts[i + 1]].tobytes() for i in full], pa.binary())], names=["key", "set"])
+            first = np.unique(batch.column("key").to_numpy(zero_copy_only=False), return_index=True)[1]
+            yield batch.take(pa.array(first))
 
-    return texts.select(*[f"f{i}" for i in range(fields)]).mapInArrow(each, "key bigint, set binary")
+    return parsed.select("key", "set").mapInArrow(each, "key bigint, set binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -225,9 +224,10 @@ def near_duplicates(records: DataFrame, id_col: str = "paper_id", fields: tuple[
     def tokens_of(tokens: np.ndarray, starts: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
         return list(band_tokens(m, bands, rows))
 
-    members = keys_of(texts, len(fields), n).distinct()
-    comps = components(candidate_edges(postings(texts, len(fields), n, blocks, tokens_of), likeness))
-    found = cut(compare_components(comps, sets_of(texts, len(fields), n), _links(likeness), "a bigint, b bigint, links int"))
+    parsed = parsed_sets(texts, len(fields), n)
+    members = parsed.select("id", "key").distinct()
+    comps = components(candidate_edges(postings(parsed, blocks, tokens_of), likeness))
+    found = cut(compare_components(comps, sets_of(parsed), _links(likeness), "a bigint, b bigint, links int"))
     groups = components(found.where("a <> b"))
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
     return members.join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left").select("id", F.col("key").alias("class_id"), F.coalesce("component", "key").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noctiluca.llm.components import components
-from noctiluca.llm.near_duplicates import batch_sets, candidate_edges, compare_components, keys_of, postings, sets_of, shared_counts, whole_texts
-from noctiluca.llm.words import WordIds
+from noctiluca.llm.near_duplicates import candidate_edges, compare_components, parsed_sets, postings, sets_of, shared_counts, unpacked, whole_texts
 from noctiluca.session import cut
 
 COUNT_BITS = 18
@@ -35,17 +34,17 @@ def sides(splits: DataFrame, id_col: str = "paper_id", split_col: str = "split",
     return splits.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), side.cast("int").alias("side")).where("id is not null and side is not null").distinct()
 
 
-def count_table(texts: DataFrame, fields: int, n: int) -> np.ndarray:
+def count_table(parsed: DataFrame) -> np.ndarray:
     """How often n-grams fall into each of 2**COUNT_BITS cells, over all records. Every task adds up its own records first."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = WordIds(), np.zeros(1 << COUNT_BITS, np.int64)
+        total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            total += np.bincount((batch_sets(batch, fields, n, known)[0] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+            total += np.bincount((unpacked(batch.column("set"))[0] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "times"])
 
-    counted = texts.select(*[f"f{i}" for i in range(fields)]).mapInArrow(each, "cell int, times bigint").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()
+    counted = parsed.select("set").mapInArrow(each, "cell int, times bigint").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()
     table = np.zeros(1 << COUNT_BITS, np.int64)
     table[counted["cell"].to_numpy(np.int64)] = counted["times"].to_numpy(np.int64)
     return table
@@ -88,19 +87,18 @@ def split_overlap(records: DataFrame, splits: DataFrame, id_col: str = "paper_id
     empty table on either side gives no rows.
     """
     spark = records.sparkSession
-    many = len(fields)
-    texts = whole_texts(records, id_col, fields).join(sides(splits, **names), "id")
+    parsed = parsed_sets(whole_texts(records, id_col, fields).join(sides(splits, **names), "id"), len(fields), n)
     blocks = blocks or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = spark.sparkContext.broadcast(count_table(texts, many, n))
+    table = spark.sparkContext.broadcast(count_table(parsed))
 
     def tokens_of(tokens: np.ndarray, starts: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
         return rarest(tokens, starts, table.value, likeness)
 
-    members = cut(keys_of(texts, many, n).distinct().join(sides(splits, **names), "id").select("id", "side", F.col("key").alias("class_id")).distinct())
+    members = parsed.select("id", "side", F.col("key").alias("class_id")).distinct()
     flags = members.groupBy("class_id").agg(F.bit_or(F.when(F.col("side") == 0, TRAIN).otherwise(EVALUATION)).alias("flag"))
-    comps = components(candidate_edges(postings(texts, many, n, blocks, tokens_of, side=True), likeness, side=True))
+    comps = components(candidate_edges(postings(parsed, blocks, tokens_of, side=True), likeness, side=True))
     comps = comps.join(flags, comps["node"] == flags["class_id"]).select("node", "component", "flag")
-    near = compare_components(comps, sets_of(texts, many, n), _pairs(likeness), "evaluation_class bigint, training_class bigint, containment double, likeness double").distinct()
+    near = compare_components(comps, sets_of(parsed), _pairs(likeness), "evaluation_class bigint, training_class bigint, containment double, likeness double").distinct()
     same = flags.where(F.col("flag") == TRAIN | EVALUATION).select(F.col("class_id").alias("evaluation_class"), F.col("class_id").alias("training_class"), F.lit(1.0).alias("containment"), F.lit(1.0).alias("likeness"))
     return members, cut(near.unionByName(same))
 
