@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noctiluca.llm.components import components
 from noctiluca.llm.words import INVISIBLE, mixed
 from noctiluca.session import cut, spread
 
@@ -280,12 +281,12 @@ def similar_keys(keys: DataFrame, likeness: float, rows: int, recall: float, blo
 FORMS = "name string, times bigint, key string, given string, initials string, cut boolean, parts array<string>"
 
 
-def link_names(records: DataFrame, authors_col: str = "authors", likeness: float = 0.5, rows: int = 3, recall: float = 0.995, least: float = 0.8, given_least: int = 8, given_most: int = 50_000, error_spellings: int = 2, blocks: int | None = None) -> DataFrame:
+def link_names(records: DataFrame, authors_col: str = "authors", likeness: float = 0.5, rows: int = 3, recall: float = 0.995, least: float = 0.8, given_least: int = 8, given_most: int = 50_000, blocks: int | None = None) -> DataFrame:
     """(name, times, entity): every distinct name with the centre of its star, a person or collaboration.
 
-    A family name or collaboration that is a typing error away from a better attested one, or a part of a compound one,
-    and under which at most ``error_spellings`` spellings occur, joins that one's star if the given names agree; so do
-    short names of initials.
+    The forms of a family name or collaboration that is a typing error away from a better attested one, or a part of a
+    compound one, visit that one's stars, however many spellings there are; so do short names of initials. A star joins
+    another if its centre found one there, that is, if the given names and initials agree, and takes its leaves along.
     Null, empty and blank entries and 'et al.' are no names; repeated rows only raise a name's weight; other columns are
     not read; an empty table gives no rows. Spellings of one normal form are taken together before names are compared,
     and are then compared with the centres of their key only, never with each other.
@@ -307,13 +308,13 @@ def link_names(records: DataFrame, authors_col: str = "authors", likeness: float
     near = similar_keys(keys.where(F.length("key") > 5).where(~F.col("key").startswith("a|")).select("key"), likeness, rows, recall, blocks)
     both = near.union(near.select("b", "a"))
     small, large = keys.select(F.col("key").alias("a"), F.col("names").alias("small"), F.col("weight").alias("small_w")), keys.select(F.col("key").alias("b"), F.col("names").alias("large"), F.col("weight").alias("large_w"))
-    typed = both.join(small, "a").join(large, "b").where((F.col("small") <= error_spellings) & ((F.col("large") > F.col("small")) | (F.col("large") == F.col("small")) & (F.struct("large_w", "b") > F.struct("small_w", "a")))).select(F.col("a").alias("key"), F.col("b").alias("at"))
+    typed = both.join(small, "a").join(large, "b").where((F.col("large") > F.col("small")) | (F.col("large") == F.col("small")) & (F.struct("large_w", "b") > F.struct("small_w", "a"))).select(F.col("a").alias("key"), F.col("b").alias("at"))
     words = F.split(F.expr("substring(key, 3)"), " ")
     initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     whole = keys.where(F.col("key").startswith("c|")).select(F.col("key").alias("at"), F.explode(F.array(*[F.concat(F.lit("a|"), initials, F.lit(x)) for x in ("", "c", "t")])).alias("key"))
     short = keys.where(F.col("key").startswith("a|")).join(whole, "key").select("key", "at")
     part = parsed.select(F.col("key").alias("at"), F.explode("parts").alias("part")).distinct().select("at", F.concat(F.lit("p|"), "part").alias("key"))
-    lone = keys.where(F.col("key").startswith("p|") & (F.col("names") <= error_spellings)).join(part, "key").select("key", "at")
+    lone = keys.where(F.col("key").startswith("p|")).join(part, "key").select("key", "at")
     visits = typed.union(short).union(lone).distinct()
     there = forms.withColumn("at", F.col("key")).withColumn("own", F.lit(True)).unionByName(forms.join(visits, "key").withColumn("own", F.lit(False)))
 
@@ -331,10 +332,20 @@ def link_names(records: DataFrame, authors_col: str = "authors", likeness: float
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
     tasks = blocks * 4
-    stars_of = there.withColumn("task", F.pmod(F.xxhash64("at"), F.lit(tasks)).cast("int")).select("task", "at", "key", "given", "initials", "cut", "weight", "spellings", "own").groupBy("task").applyInArrow(cluster, "key string, given string, initials string, cut boolean, entity string, own boolean, sim double, centre_weight bigint")
-    # a visitor that found a centre elsewhere leaves its own key; of several centres the most alike, then the best attested
-    best = stars_of.groupBy("key", "given", "initials", "cut").agg(F.max(F.struct(~F.col("own"), F.col("sim"), F.col("centre_weight"), F.col("entity"))).alias("best")).select("key", "given", "initials", "cut", F.col("best.entity").alias("entity"))
-    return parsed.join(best, ["key", "given", "initials", "cut"], "left").select("name", "times", F.coalesce("entity", "key").alias("entity"))
+    form = ["key", "given", "initials", "cut"]
+    stars_of = cut(there.withColumn("task", F.pmod(F.xxhash64("at"), F.lit(tasks)).cast("int")).select("task", "at", *form, "weight", "spellings", "own").groupBy("task").applyInArrow(cluster, "key string, given string, initials string, cut boolean, entity string, own boolean, sim double, centre_weight bigint"))
+    at_home = stars_of.where("own").select(*form, "entity")
+    # of several centres that a centre found elsewhere the most alike, then the best attested
+    centres = at_home.where(F.col("entity") == F.concat_ws("|", "key", "given", "initials"))
+    away = stars_of.where("NOT own").select(*form, "sim", "centre_weight", F.col("entity").alias("b"))
+    moves = cut(centres.join(away, form).groupBy(F.col("entity").alias("a")).agg(F.max(F.struct("sim", "centre_weight", "b")).alias("best")).select("a", F.col("best.b").alias("b"), F.col("best.centre_weight").alias("w")))
+    # a centre found elsewhere may itself have moved on; the end of the chain gives the name
+    weights = moves.select(F.col("b").alias("node"), "w").groupBy("node").agg(F.max("w").alias("w"))
+    ends = components(moves).join(moves.select(F.col("a").alias("node"), F.lit(True).alias("moved")), "node", "left").join(weights, "node", "left")
+    last = ends.groupBy("component").agg(F.max(F.struct(F.col("moved").isNull(), "w", "node")).alias("end")).select("component", F.col("end.node").alias("end"))
+    ended = ends.join(last, "component").select(F.col("node").alias("entity"), "end")
+    settled = at_home.join(ended, "entity", "left").select(*form, F.coalesce("end", "entity").alias("entity"))
+    return parsed.join(settled, form, "left").select("name", "times", F.coalesce("entity", "key").alias("entity"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:

@@ -69,6 +69,21 @@ def test_link_names(spark):
     assert link_names(df.limit(0)).count() == 0
 
 
+def test_misspelt_families_of_many_spellings_are_linked(spark):
+    right = ["Tariq Snunörranmar", "T. Snunörranmar", "Susanna Snunörranmar", "S. Snunörranmar", "Victoria Snunörranmar", "V. Snunörranmar", "Dr. Victoria Snunörranmar"]
+    typed = ["Tariq Snunoerranmar", "S. Snunoerranmar", "V. Snunoerranmar", "Oliver Snunoerranmar", "O. Snunoerranmar"]
+    chain = ["Tariq Snunoerrnmar"]
+    part = ["Lucia Woveskar", "L. Woveskar", "Lucia P. Woveskar", "Kenji Woveskar"]
+    names = right + typed + chain + part + ["Lucia Woveskar-Glarbel"]
+    df = spark.createDataFrame([(", ".join(names), 1, "x", "k")], "authors string, times int, name string, key string")
+    of = {r["name"]: r["entity"] for r in link_names(df, given_least=1).collect()}
+    assert of["Tariq Snunoerranmar"] == of["Tariq Snunörranmar"] == of["Tariq Snunoerrnmar"]
+    assert of["S. Snunoerranmar"] == of["Susanna Snunörranmar"] and of["V. Snunoerranmar"] == of["Victoria Snunörranmar"]
+    assert of["Oliver Snunoerranmar"] == of["O. Snunoerranmar"]
+    assert len({of[n] for n in ("Tariq Snunörranmar", "Susanna Snunörranmar", "Victoria Snunörranmar", "Oliver Snunoerranmar")}) == 4
+    assert len({of[n] for n in [*part[:3], "Lucia Woveskar-Glarbel"]}) == 1 and of["Kenji Woveskar"] != of["Lucia Woveskar"]
+
+
 def test_fold():
     assert fold("Łukasz STRAẞE Beckín\u200b") == "lukasz strasse beckin"
 
