@@ -192,7 +192,7 @@ def search_similar(queries: DataFrame, vectors: DataFrame, id_col: str = "paper_
 
     Without a least similarity a neighbour may be hardly nearer than the rest, and cells would lose it; so every query is
     counted against every vector. How far its windows have to reach follows from a bounded sample: the k-th best
-    similarity there is a lower bound of the k-th best of all, so no neighbour lies beyond that radius, and a vector at
+    similarity among its distinct ids is a lower bound of the k-th best of all, so no neighbour lies beyond that radius, and a vector at
     that radius collides often enough with probability ``recall`` (nearer ones with a higher one). The arrays are the same
     for all queries, only the windows differ. Queries are taken in blocks of ``block``, each broadcast to one pass over the
     vectors, which are not shuffled. Unusable and repeated rows as in ``similar_vectors``.
@@ -201,7 +201,7 @@ def search_similar(queries: DataFrame, vectors: DataFrame, id_col: str = "paper_
     rows, asked = usable(vectors, id_col, vec_col, dim), usable(queries, id_col, vec_col, dim)
     total = rows.count()
     parts = 1 << 20
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < int(np.ceil(parts * min(1.0, 1.2 * sample_rows / max(total, 1))))).limit(sample_rows).toArrow()
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < int(np.ceil(parts * min(1.0, 1.2 * sample_rows / max(total, 1))))).dropDuplicates(["id"]).limit(sample_rows).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], PAIRS + ", rank int")
     shared = spark.sparkContext.broadcast((sample.column("id").to_numpy(), _unit(sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), dim).astype(np.float32)))

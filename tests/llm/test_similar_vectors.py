@@ -68,6 +68,18 @@ def test_search_recall(spark):
     assert len(found) <= len(want)
 
 
+def test_search_with_a_hot_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, DIM)).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    hot = brute(list(range(600)), x, 1, -1)[0][0]
+    df = frame(spark, rows + [rows[hot]] * 300)
+    found = {(r["src_id"], r["dst_id"]) for r in search_similar(df.where("paper_id % 50 = 0"), df, dim=DIM, k=8).collect()}
+    want = {(i, j) for i, v in brute(list(range(600)), x, 8, -1).items() if i % 50 == 0 for j in v}
+    assert len(found & want) >= 0.9 * len(want)
+    assert sum(i == 0 for i, _ in found) == 8
+
+
 def test_narrow_windows_agree_with_wide_ones():
     rng = np.random.default_rng(4)
     x = clusters(rng, 20, 10).astype(np.float64)
