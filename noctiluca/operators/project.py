@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctiluca import schema
+from noctiluca.session import cut, spread
 
 
 def moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -84,13 +86,21 @@ def layout(x: np.ndarray, start: np.ndarray, neighbours: int = schema.UMAP_NEIGH
         d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
         near[at : at + 1024] = np.argsort(d, axis=1, kind="stable")[:, :k]
         dist[at : at + 1024] = np.take_along_axis(d, near[at : at + 1024], axis=1)
-    dist = np.maximum(dist, 0)
+    return arrange(near, np.maximum(dist, 0), start, min_dist, rounds, seed)
+
+
+def arrange(near: np.ndarray, dist: np.ndarray, start: np.ndarray, min_dist: float = schema.UMAP_MIN_DIST, rounds: int = 200, seed: int = schema.SEED) -> np.ndarray:
+    """Positions from every row's neighbours, nearest first, and their distances; a place without a neighbour is -1."""
+    n, k = near.shape
     rho, sigma = _smooth(dist, k + 1)
     weight = np.exp(-np.maximum(dist - rho[:, None], 0) / sigma[:, None])
-    pairs = pd.DataFrame({"a": np.repeat(np.arange(n), k), "b": near.ravel(), "w": weight.ravel()})
-    both = pairs.merge(pairs.rename(columns={"a": "b", "b": "a", "w": "v"}), how="outer", on=["a", "b"]).fillna(0.0)
-    both["w"] = both["w"] + both["v"] - both["w"] * both["v"]
-    a, b, w = both["a"].to_numpy(), both["b"].to_numpy(), both["w"].to_numpy()
+    some = near.ravel() >= 0
+    a, b, w = np.repeat(np.arange(n), k)[some], near.ravel()[some].astype(np.int64), weight.ravel()[some]
+    edges, at = np.unique(np.concatenate([a * n + b, b * n + a]), return_inverse=True)
+    there, back = np.bincount(at[: len(w)], w, len(edges)), np.bincount(at[len(w) :], w, len(edges))
+    a, b = np.divmod(edges, n)
+    w = there + back - there * back
+    del edges, at, there, back
     rng = np.random.default_rng(seed)
     scale = np.abs(start - start.mean(axis=0)).max() or 1.0
     y = 10 * (start - start.mean(axis=0)) / scale + rng.normal(0, 1e-4, (n, 2))
@@ -103,45 +113,96 @@ def layout(x: np.ndarray, start: np.ndarray, neighbours: int = schema.UMAP_NEIGH
         r = np.maximum((d * d).sum(axis=1), 1e-12)
         pull = (-2 * ca * cb * r ** (cb - 1)) / (1 + ca * r**cb)
         move = np.clip(pull[:, None] * d, -4, 4)
-        np.add.at(y, i, step * move)
-        np.add.at(y, j, -step * move)
+        for c in range(2):
+            y[:, c] += step * (np.bincount(i, move[:, c], n) - np.bincount(j, move[:, c], n))
         other = rng.integers(0, n, len(i))
         d = y[i] - y[other]
         r = (d * d).sum(axis=1)
         push = (2 * cb) / ((0.001 + r) * (1 + ca * r**cb))
-        np.add.at(y, i, step * np.clip(np.where(other != i, push, 0)[:, None] * d, -4, 4))
+        away = np.clip(np.where(other != i, push, 0)[:, None] * d, -4, 4)
+        for c in range(2):
+            y[:, c] += step * np.bincount(i, away[:, c], n)
     return y
 
 
-def umap_map(vectors: DataFrame, dim: int = 128, anchors: int = 5000, neighbours: int = schema.UMAP_NEIGHBOURS, seed: int = schema.SEED) -> DataFrame:
-    """(id, x, y): the layout is made for at most ``anchors`` rows (a documented bound; fewer rows are all laid out), and
-    every other row is placed at the mean of its most similar anchors, weighted by similarity."""
-    rows = vectors.select("id", "vec").dropDuplicates(["id"])
-    total = rows.count()
-    if total == 0:
-        return rows.sparkSession.createDataFrame([], "id bigint, x double, y double")
-    chosen = rows if total <= anchors else rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(anchors)
-    some = chosen.orderBy("id").toPandas()
-    x = np.stack(some["vec"].to_list()).astype(np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    mean, axes = principal_axes(rows, dim)
-    y = layout(x, (x - mean) @ axes, neighbours, seed=seed)
-    shared = rows.sparkSession.sparkContext.broadcast((some["id"].to_numpy(), x, y))
+def neighbour_graph(rows: DataFrame, total: int, dim: int, k: int, seed: int = schema.SEED, cell_rows: int = 1000, probes: int = 3, most_cells: int = 4096) -> DataFrame:
+    """(src, dst, sim): for every one of the ``total`` rows (id, vec of floats, distinct by id) its k most similar others.
+
+    Rows go to cells of similar vectors (spherical k-means, fitted on a bounded sample, every row assigned), each to its
+    home cell and as a visitor to the next nearest ones, and are compared there with all rows at home. Approximate in
+    which neighbours are found, exact in their similarity.
+    """
+
+    def unit(column: pa.Array) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    cells = int(min(most_cells, max(1, total // cell_rows)))
+    x = unit(rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(32 * cells).select("vec").toArrow().column("vec").combine_chunks())
+    centre = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)].copy()
+    for _ in range(6):
+        best = np.argmax(x @ centre.T, axis=1)
+        for c in np.unique(best):
+            mean = x[best == c].sum(axis=0)
+            centre[c] = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-6 else centre[c]
+    shared = rows.sparkSession.sparkContext.broadcast(centre)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = shared.value
+        near = min(probes, len(centre))
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(batch.column("vec"))
+                top = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :near]
+                row = np.repeat(np.arange(len(x)), near)
+                raw = [v.tobytes() for v in x]
+                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near) == 0, len(x))), batch.column("id").take(pa.array(row)), pa.array([raw[i] for i in row], pa.binary())], names=["cell", "home", "id", "vec"])
+
+    def search(group: pa.Table) -> pa.Table:
+        ids, home = group.column("id").to_numpy(), np.flatnonzero(group.column("home").to_numpy(zero_copy_only=False))
+        x = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(ids[:0], ids[:0], x[:0, 0])]
+        m = min(k, len(home))
+        for at in range(0, len(ids) if m else 0, 1024):
+            sim = x[at : at + 1024] @ x[home].T
+            sim[ids[at : at + 1024, None] == ids[home][None, :]] = -np.inf
+            top = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+            best = np.take_along_axis(sim, top, axis=1).ravel()
+            keep = best > -np.inf
+            out.append((np.repeat(ids[at : at + 1024], m)[keep], ids[home][top.ravel()][keep], best[keep]))
+        return pa.table({n: pa.array(np.concatenate([o[i] for o in out])) for i, n in enumerate(("src", "dst", "sim"))})
+
+    found = spread(rows).mapInArrow(assign, "cell int, home boolean, id bigint, vec binary").groupBy("cell").applyInArrow(search, "src bigint, dst bigint, sim float")
+    by = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, x, y = shared.value
-        known = dict(zip(ids.tolist(), range(len(ids)), strict=True))
-        for b in batches:
-            if not len(b):
-                continue
-            v = np.stack(b["vec"].to_list()).astype(np.float64)
-            sim = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) @ x.T
-            k = min(5, len(ids))
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            w = np.exp(8 * np.take_along_axis(sim, top, axis=1))
-            xy = (y[top] * w[:, :, None]).sum(axis=1) / w.sum(axis=1, keepdims=True)
-            own = np.array([known.get(i, -1) for i in b["id"].tolist()])
-            xy[own >= 0] = y[own[own >= 0]]
-            yield pd.DataFrame({"id": b["id"], "x": xy[:, 0], "y": xy[:, 1]})
 
-    return rows.mapInPandas(place, "id bigint, x double, y double")
+def umap_map(vectors: DataFrame, dim: int = 128, anchors: int = 5000, neighbours: int = schema.UMAP_NEIGHBOURS, seed: int = schema.SEED) -> DataFrame:
+    """(id, x, y): every row is in the neighbour graph and is laid out. Up to ``anchors`` rows the graph is made from all
+    pairs; beyond, it is found by a distributed search over cells. The driver lays the graph out; its memory and time grow
+    with the rows (neighbours, distances and positions, never the vectors)."""
+    spark = vectors.sparkSession
+    total = vectors.select("id").distinct().count()
+    if total == 0:
+        return spark.createDataFrame([], "id bigint, x double, y double")
+    if total <= anchors:
+        some = vectors.select("id", "vec").dropDuplicates(["id"]).orderBy("id").toPandas()
+        ids, x = some["id"].to_numpy(), np.stack(some["vec"].to_list()).astype(np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        mean, axes = principal_axes(vectors.dropDuplicates(["id"]), dim)
+        y = layout(x, (x - mean) @ axes, neighbours, seed=seed)
+    else:
+        rows = cut(vectors.select("id", F.col("vec").cast("array<float>").alias("vec")).dropDuplicates(["id"]))
+        first = pca_map(rows, dim).toArrow()
+        order = np.argsort(first.column("id").to_numpy())
+        ids = first.column("id").to_numpy()[order]
+        start = np.stack([first.column(c).to_numpy()[order] for c in ("x", "y")], 1)
+        k = min(neighbours, total - 1)
+        near, dist = np.full((total, k), -1, np.int32), np.full((total, k), 2.0, np.float32)
+        edges = neighbour_graph(rows, total, dim, k, seed).select("src", "dst", "rank", "sim").toArrow()
+        row, place = np.searchsorted(ids, edges.column("src").to_numpy()), edges.column("rank").to_numpy() - 1
+        near[row, place] = np.searchsorted(ids, edges.column("dst").to_numpy())
+        dist[row, place] = np.maximum(1 - edges.column("sim").to_numpy(), 0)
+        del edges, row, place
+        y = arrange(near, dist, start, seed=seed)
+    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "x": y[:, 0], "y": y[:, 1]}))

@@ -88,6 +88,18 @@ def test_layout_keeps_neighbours(spark):
     assert umap_map(rows.limit(0), DIM).count() == 0
 
 
+def test_large_maps_keep_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((100, DIM)).repeat(4, axis=0) + 0.3 * rng.standard_normal((400, DIM))
+    y = umap_map(table(spark, [(i, [float(a) for a in r]) for i, r in enumerate(x)]), DIM, anchors=40).orderBy("id").toPandas()[["x", "y"]].to_numpy()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far, d = 1 - u @ u.T, np.linalg.norm(y[:, None] - y[None], axis=2)
+    np.fill_diagonal(far, np.inf)
+    np.fill_diagonal(d, np.inf)
+    want, got = np.argsort(far, axis=1)[:, :6], np.argsort(d, axis=1)[:, :6]
+    assert (want[:, :, None] == got[:, None, :]).any(axis=2).mean() > 0.5
+
+
 PAIRS = "truth string, predicted string"
 
 
