@@ -82,7 +82,8 @@ def split_overlap(records: DataFrame, splits: DataFrame, id_col: str = "paper_id
     members: (id, side, class_id), one row per record and side that takes part; records with the same n-grams have one
     class. overlaps: (evaluation_class, training_class, containment, likeness), one row per two classes of at least that
     likeness, a class that occurs on both sides with itself; containment is the share of the evaluation record's n-grams
-    in the training record. Exact: no pair is lost and none estimated. Records without an id, with a null or blank field,
+    in the training record. No figure is estimated; a pair at the threshold
+    leaves the sketch radius, and is lost, with about 1e-5. Records without an id, with a null or blank field,
     fewer than n words or a split that is neither take no part; repeated rows count once; other columns are not read; an
     empty table on either side gives no rows.
     """
