@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +10,12 @@ from pyspark.sql import functions as F
 from noctiluca import schema
 from noctiluca.plans.records import CLEAN, KEY, clean
 from noctiluca.plans.registry import query, read
-from noctiluca.session import ensure_checkpoint_dir
+from noctiluca.session import shared_folder
 from noctiluca.sources.csv import read_papers, write_papers
 from noctiluca.sources.synthetic import sample_papers
 from noctiluca.streaming.dedup import keyed_stream, run_available
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"{name}-{uuid.uuid4().hex}")
-
-
 @query(f"WITH {CLEAN} SELECT paper_id, title, abstract, category, authors, url FROM clean")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     at = shared_folder(spark, "csv")

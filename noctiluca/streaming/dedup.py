@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctiluca.functions import text
 from noctiluca.operators.records import with_prefix
+from noctiluca.session import shared_folder
 
 
 def keyed_stream(stream: DataFrame, prefix: str | None = "astro-ph.", event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -23,7 +22,7 @@ def keyed_stream(stream: DataFrame, prefix: str | None = "astro-ph.", event_time
 
 def run_available(stream: DataFrame, out: str, checkpoint: str | None = None) -> None:
     """Process everything there is now, append it to a folder, and stop. Started again with the same checkpoint folder it
-    goes on with what has come since."""
-    checkpoint = checkpoint or tempfile.mkdtemp(prefix="noctiluca-stream-")
+    goes on with what has come since; without one its state stands in a new folder of those all executors share."""
+    checkpoint = checkpoint or shared_folder(stream.sparkSession, "stream-state")
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
