@@ -1,36 +1,49 @@
 """The most similar vectors of every vector, by collision counting over sorted projections.
 
-Every vector is projected onto a few random lines. Per line the values are kept as a sorted array, and around a
-query's own value a window is opened; a vector inside the window collides with the query on that line. Vectors that
-collide on enough lines are compared exactly. The window starts narrow and grows by a constant factor (virtual
-rehashing: the arrays stay, only the window's width changes) until the query has its k neighbours or the radius of
-the similarity threshold is reached.
+Every vector is projected onto a few random lines. Per line the values of the indexed vectors stand in a sorted array,
+and around a query's own value a window is opened; a vector inside the window collides with the query on that line.
+The members of a window are the difference of two prefixes of the sorted array, held as bit sets, so a line is counted
+for a whole block of vectors at once in carry-save counters. The window starts narrow and grows by a constant factor
+(virtual rehashing: the arrays stay, only the flanks that are new are counted) until the query has its k neighbours or
+its radius is reached. Vectors that collide on enough lines are compared exactly.
 
 A window on one line holds a fixed share of all rows, so counting over a whole table would be quadratic. The rows are
-therefore first sent to cells of similar vectors (spherical k-means, fitted on a bounded sample, every row assigned),
-each row to its home cell and to the next nearest ones as a visitor; arrays and windows are kept per cell.
+therefore first sent to cells of similar vectors (fitted on a bounded sample, every row assigned), each row to its home
+cell and each query to the nearest ones; arrays and windows are kept per cell. The number of cells follows the number of
+rows: beyond ``LEAF`` of them a cell is a centroid together with a centroid of the residuals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noctiluca.session import spread
+from noctiluca.llm.sketches import SlicedCounter
+from noctiluca.llm.words import mixed
+from noctiluca.session import bounded_batches, spread
 
 PAIRS = "src_id bigint, dst_id bigint, sim double"
+#: Most centroids of one codebook; two of them make up to LEAF * LEAF cells.
+LEAF = 4096
+#: Places of a sorted array, and places per unit of length on a line; unit vectors lie within 6 of zero but for 2e-9 of them.
+PLACES, STEP = 384, 32
+#: From so many cells on, cells are pairs of centroids.
+FLAT = 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """(id, vec) of the rows that have an id and a finite, non-zero vector of ``dim`` values."""
+    """(id, vec, class) of the rows that have an id and a finite, non-zero vector of ``dim`` values; equal vectors have one
+    class."""
     v = F.col(f"`{vec_col}`")
     size = F.coalesce(F.size(v), F.lit(-1)) == dim
     finite = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
-    return vectors.where(F.col(f"`{id_col}`").isNotNull() & size & finite & F.exists(v, lambda x: x != 0)).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.cast("array<float>").alias("vec"))
+    kept = vectors.where(F.col(f"`{id_col}`").isNotNull() & size & finite & F.exists(v, lambda x: x != 0))
+    return kept.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.cast("array<float>").alias("vec")).withColumn("class", F.xxhash64("vec"))
 
 
 def _unit(values: np.ndarray, dim: int) -> np.ndarray:
@@ -39,83 +52,239 @@ def _unit(values: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def fit_cells(sample: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
-    """Unit centroids of spherical k-means over the sample rows."""
-    rng = np.random.default_rng(seed)
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    half = (centre**2).sum(axis=1) / 2
+    return np.concatenate([np.argmax(x[i : i + 8192] @ centre.T - half, axis=1) for i in range(0, len(x), 8192)])
+
+
+def fit_codebook(sample: np.ndarray, size: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """At most ``size`` centroids (k-means) of the sample rows."""
     x = sample.astype(np.float32)
-    cells = max(1, min(cells, len(x)))
-    centre = x[rng.choice(len(x), cells, replace=False)].copy()
+    size = max(1, min(size, len(x)))
+    centre = x[np.random.default_rng(seed).choice(len(x), size, replace=False)].copy()
     for _ in range(rounds):
-        best = np.concatenate([np.argmax(x[i : i + 8192] @ centre.T, axis=1) for i in range(0, len(x), 8192)])
+        best = _nearest(x, centre)
         order = np.argsort(best, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(best[order]) > 0])
-        total = np.add.reduceat(x[order], at, axis=0)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        centre[best[order][at]] = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), centre[best[order][at]])
+        centre[best[order][at]] = np.add.reduceat(x[order], at, axis=0) / np.diff(np.r_[at, len(x)])[:, None]
     return centre
 
 
+class Cells:
+    """Cells of similar unit vectors: the centroids of one codebook, or pairs of a centroid and a centroid of residuals."""
+
+    def __init__(self, sample: np.ndarray, wanted: int, seed: int = 7, flat: int = FLAT):
+        x = sample.astype(np.float32)
+        first = wanted if wanted <= flat else int(np.ceil(np.sqrt(wanted)))
+        self.first = fit_codebook(x, min(first, LEAF), seed=seed)
+        self.second = None
+        if wanted > flat:
+            self.second = fit_codebook(x - self.first[_nearest(x, self.first)], min(first, LEAF), seed=seed + 1)
+            self.cross = self.first @ self.second.T
+        self.count = len(self.first) * (1 if self.second is None else len(self.second))
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """(rows, probes): numbers of each row's nearest cells, the nearest first."""
+        x = x.astype(np.float32)
+        score = x @ self.first.T - (self.first**2).sum(axis=1) / 2
+        if self.second is None:
+            return self._best(score, min(probes, self.count))
+        beam = min(len(self.first), max(4, probes))
+        top = self._best(score, beam)
+        # the score of a pair is x (a + b) - |a + b|^2 / 2, and so that of the parts less a b
+        inner = x @ self.second.T - (self.second**2).sum(axis=1) / 2
+        whole = np.take_along_axis(score, top, axis=1)[:, :, None] + inner[:, None, :] - self.cross[top]
+        best = self._best(whole.reshape(len(x), -1), min(probes, whole[0].size))
+        return np.take_along_axis(top, best // len(self.second), axis=1) * len(self.second) + best % len(self.second)
+
+    @staticmethod
+    def _best(score: np.ndarray, k: int) -> np.ndarray:
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def collision_threshold(lines: int, reach: float, recall: float) -> int:
     """The most collisions that a pair at the very radius still reaches with probability ``recall`` (normal quantile)."""
-    from statistics import NormalDist
-
     p = 2 * NormalDist().cdf(reach) - 1
     return max(1, int(np.floor(lines * p - NormalDist().inv_cdf(recall) * np.sqrt(lines * p * (1 - p)) + 0.5)))
 
 
-def neighbours_in_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, lines: np.ndarray, k: int, least: float, reach: float = 1.0, recall: float = 0.97, growth: float = 2.0, steps: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, partner row, similarity): up to k partners of each row among the cell's home rows, and of each home
-    row among all rows, with similarity >= ``least``, best first, ties by lower id. ``x`` holds unit vectors."""
-    mine = np.flatnonzero(home)
-    if len(mine) == 0 or len(ids) < 2:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    radius = np.sqrt(2 - 2 * least)
+def sorted_prefixes(places: np.ndarray) -> np.ndarray:
+    """The sorted array of one line as bit sets: row r holds the rows whose place on the line is below r. The members of a
+    window are the exclusive or of the rows at its two ends."""
+    one = np.zeros((PLACES + 1, -(-len(places) // 64)), np.uint64)
+    row = np.arange(len(places))
+    np.bitwise_or.at(one, (places + 1, row >> 6), np.uint64(1) << (row & 63).astype(np.uint64))
+    return np.bitwise_xor.accumulate(one, axis=0)
+
+
+def neighbours_in_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asked: np.ndarray, lines: np.ndarray, k: int, least: np.ndarray, reach: float = 1.0, recall: float = 0.97, growth: float = 2.0, steps: int = 2, mutual: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src id, dst id, similarity): up to k partners of each asked row among the cell's home rows with a similarity of at
+    least the row's own ``least``, best first, ties by lower id; with ``mutual`` what a visitor found is a partner for the
+    home row, too. ``x`` holds unit vectors; an id may have several rows and is no partner of itself."""
+    mine, queries = np.flatnonzero(home), np.flatnonzero(asked)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(mine) or not len(queries):
+        return none
     low = collision_threshold(len(lines), reach, recall)
-    h = (x @ lines.T).astype(np.float32)
-    order = np.argsort(h[mine], axis=0, kind="stable")
-    arrays = np.take_along_axis(h[mine], order, axis=0)
-    place = np.empty(order.shape, np.int32)
-    np.put_along_axis(place, order, np.arange(len(mine), dtype=np.int32)[:, None], axis=0)
-    place = np.ascontiguousarray(place.T.astype(np.uint16 if len(mine) < 65_000 else np.uint32))
-    found_q: list[np.ndarray] = []
-    found_p: list[np.ndarray] = []
-    found_s: list[np.ndarray] = []
-    for start in range(0, len(ids), 1024):
-        open_rows = np.arange(start, min(start + 1024, len(ids)))
-        for step in reversed(range(steps)):
-            if not len(open_rows):
-                break
-            width = reach * radius / growth**step
-            counts = np.zeros((len(open_rows), len(mine)), np.uint8)
+    h = x @ lines.T.astype(np.float64)
+    y, own = x[mine], ids[mine]
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    radius = np.sqrt(np.maximum(0, 2 - 2 * least)).astype(np.float32)
+    # places on a line in steps of 1 / STEP; windows are rounded outwards, so rounding loses nothing
+    place = lambda v, up: np.clip((np.ceil if up else np.floor)(v * STEP) + PLACES // 2, 0, PLACES - 1 + up).astype(np.intp).T.copy()
+    at = place(h[mine], 0)
+    arrays = [sorted_prefixes(at[j]) for j in range(len(lines))] if len(mine) <= 4096 else None
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [none]
+    block = max(64, min(1024, (1 << 23) // len(mine)))
+    for start in range(0, len(queries), block):
+        rows = queries[start : start + block]
+        counter = SlicedCounter()
+        before = None
+        for step in range(steps):
+            width = (reach * radius[rows] / growth ** (steps - 1 - step))[:, None]
+            left, right = place(h[rows] - width, 0), place(h[rows] + width, 1)
             for j in range(len(lines)):
-                left = np.searchsorted(arrays[:, j], h[open_rows, j] - width, "left")
-                right = np.searchsorted(arrays[:, j], h[open_rows, j] + width, "right")
-                inside = (place[j][None, :] - left.astype(place.dtype)[:, None]) < (right - left).astype(place.dtype)[:, None]
-                counts += inside.view(np.uint8)
-            q, p = np.nonzero(counts >= low)
-            q, p = open_rows[q], mine[p]
-            keep = ids[q] != ids[p]
-            q, p = q[keep], p[keep]
-            sim = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 65_536]], x[p[i : i + 65_536]]) for i in range(0, len(q), 65_536)] or [np.empty(0)])
+                prefix = arrays[j] if arrays else sorted_prefixes(at[j])
+                inside = prefix.take(left[j], axis=0) ^ prefix.take(right[j], axis=0)
+                if before:
+                    inside ^= prefix.take(before[0][j], axis=0)
+                    inside ^= prefix.take(before[1][j], axis=0)
+                counter.add(inside)
+            bits = np.unpackbits(counter.exceeds(low - 1).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")[:, : len(mine)]
+            if np.count_nonzero(bits) > bits.size / 64:  # so many are left that one product of matrices, nearly exact, goes first
+                q, p = np.nonzero(bits.view(bool) & (x32[rows] @ y32.T >= (least[rows, None] - 1e-4).astype(np.float32)))
+            else:
+                q, p = np.nonzero(bits.view(bool))
+            sim = np.concatenate([np.einsum("ij,ij->i", x[rows[q[i : i + 65_536]]], y[p[i : i + 65_536]]) for i in range(0, len(q), 65_536)] or [np.empty(0)])
+            keep = (sim >= least[rows[q]]) & (ids[rows[q]] != own[p])
+            q, p, sim = q[keep], p[keep], sim[keep]
             # a query is done at a narrow window once k partners lie within that window's own radius
-            sure = np.bincount(q[sim >= 1 - (radius / growth**step) ** 2 / 2] - start, minlength=len(ids) - start)
-            done = np.ones(len(ids), bool) if step == 0 else np.r_[np.zeros(start, bool), sure >= k]
-            keep = done[q] & (sim >= least)
-            found_q.append(q[keep])
-            found_p.append(p[keep])
-            found_s.append(sim[keep])
-            open_rows = open_rows[~done[open_rows]]
-    q, p, s = np.concatenate(found_q), np.concatenate(found_p), np.concatenate(found_s)
-    away = ~home[q]  # what a visitor found is a partner for the home row, too
-    q, p, s = np.concatenate([q, p[away]]), np.concatenate([p, q[away]]), np.concatenate([s, s[away]])
-    order = np.lexsort((ids[p], -s, q))
+            sure = np.bincount(q[sim >= 1 - (radius[rows[q]] / growth ** (steps - 1 - step)) ** 2 / 2], minlength=len(rows))
+            done = np.ones(len(rows), bool) if step == steps - 1 else sure >= k
+            keep = done[q]
+            found.append((ids[rows[q[keep]]], own[p[keep]], sim[keep]))
+            left_over = np.flatnonzero(~done)
+            if not len(left_over):
+                break
+            rows, before = rows[left_over], (left[:, left_over], right[:, left_over])
+            counter.keep(left_over)
+    q, p, s = (np.concatenate(part) for part in zip(*found, strict=True))
+    if mutual:
+        q, p, s = np.r_[q, p], np.r_[p, q], np.r_[s, s]
+    order = np.lexsort((-s, p, q))
     q, p, s = q[order], p[order], s[order]
-    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.empty(0, bool)
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.empty(0, int)
-    return q[rank < k], p[rank < k], s[rank < k]
+    first = np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1])] if len(q) else np.empty(0, bool)
+    q, p, s = q[first], p[first], s[first]
+    order = np.lexsort((p, -s, q))
+    q, p, s = q[order], p[order], s[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], p[top], s[top]
+
+
+def _best(links: DataFrame, k: int) -> DataFrame:
+    """(src_id, dst_id, sim, rank): the k best of each source; both steps share one shuffle by source."""
+    best = links.repartition("src_id").groupBy("src_id", "dst_id").agg(F.max("sim").alias("sim"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("src_id").orderBy(F.desc("sim"), "dst_id"))).where(F.col("rank") <= k)
+
+
+def _sample(rows: DataFrame, total: int, wanted: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of about ``wanted`` rows chosen by a hash of their ids, one row an id."""
+    parts = 1 << 20
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < int(np.ceil(parts * min(1.0, 1.2 * wanted / max(1, total))))).select("id", "vec").dropDuplicates(["id"]).limit(2 * wanted).toArrow()
+    if not some.num_rows:
+        return np.empty(0, np.int64), np.empty((0, dim))
+    ids = some.column("id").to_numpy()
+    order = np.argsort(mixed(ids.view(np.uint64)))[:wanted]
+    return ids[order], _unit(some.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), dim)[order]
+
+
+def _search(rows: DataFrame, queries: DataFrame | None, total: int, dim: int, k: int, least: float, lines: int, cell_rows: int, probes: int | None, sample_rows: int, seed: int) -> DataFrame:
+    """Links (src_id, dst_id, sim) of the rows among themselves, or of the queries among the rows."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    wanted = max(1, total // cell_rows)
+    some_ids, some = _sample(rows, total, min(sample_rows, 32 * min(wanted, LEAF)), dim, seed)
+    if not len(some):
+        return spark.createDataFrame([], PAIRS)
+    cells = Cells(some, wanted, seed)
+    near = min(cells.count, probes if probes is not None else 3 * int(np.ceil(np.sqrt(cells.count))))
+    # cells that hold far more than others are cut into chunks by rows; every two chunks meet in a task of their own
+    crowd, rows_in = np.unique(cells.nearest(some, 1)[:, 0], return_counts=True)
+    chunks = np.maximum(1, np.round(rows_in / len(some) * total / (8 * cell_rows))).astype(np.int64)
+    crowd, chunks = crowd[chunks > 1], chunks[chunks > 1]
+    few, mutual = slice(0, 8192), queries is None
+    bound = (some_ids[few], some[few].astype(np.float32)) if queries is not None else None
+    shared = spark.sparkContext.broadcast((cells, crowd, chunks, bound))
+    directions = np.random.default_rng(seed).standard_normal((lines, dim)).astype(np.float32)
+
+    def least_of(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The k-th best similarity among the sampled ids: none of the k best of all rows is less similar."""
+        known, some = shared.value[3]
+        sim = x.astype(np.float32) @ some.T
+        sim[ids[:, None] == known[None, :]] = -1
+        return np.partition(sim, -k, axis=1)[:, -k].astype(np.float64) - 1e-5 if sim.shape[1] > k else np.full(len(ids), -1.0)
 
+    def assign(as_home: bool, as_query: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, crowd, chunks, bound = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, kind = batch.column("id").to_numpy(), batch.column("class").to_numpy()
+                once = np.unique(np.stack([ids, kind], 1), axis=0, return_index=True)[1]
+                if len(once) < len(ids):  # a row repeated very often is sent on once a batch
+                    batch, ids, kind = batch.take(pa.array(once)), ids[once], kind[once]
+                values = np.ascontiguousarray(batch.column("vec").flatten().to_numpy(zero_copy_only=False), np.float32)
+                x = _unit(values, dim)
+                floor = least_of(ids, x) if bound is not None and as_query else np.full(len(ids), least)
+                at = cells.nearest(x, near if as_query else 1)
+                row, cell = np.repeat(np.arange(len(ids)), at.shape[1]), at.ravel()
+                first = np.tile(np.arange(at.shape[1]) == 0, len(ids)) & as_home
+                times = np.ones(len(cell), np.int64)
+                if len(crowd):
+                    place = np.minimum(np.searchsorted(crowd, cell), len(crowd) - 1)
+                    times = np.where(crowd[place] == cell, chunks[place], 1)
+                own = (mixed(ids.view(np.uint64))[row] % times.astype(np.uint64)).astype(np.int64)
+                entry = np.repeat(np.arange(len(row)), times)
+                other = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+                # a query meets the home rows of every chunk, a home row the queries of every chunk
+                parts = []
+                if as_query:
+                    parts.append((entry, own[entry], other, first[entry] & (own[entry] == other), np.ones(len(entry), bool)))
+                if as_home:
+                    rest = np.flatnonzero(first[entry] & ((own[entry] != other) | (not as_query)))
+                    parts.append((entry[rest], other[rest], own[entry[rest]], np.ones(len(rest), bool), np.zeros(len(rest), bool)))
+                entry, i, j, home, asked = (np.concatenate(p) for p in zip(*parts, strict=True))
+                raw = values.tobytes()
+                vec = [raw[a : a + 4 * dim] for a in range(0, len(raw), 4 * dim)]
+                of = row[entry]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[entry]), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(home), pa.array(asked), pa.array(ids[of]), pa.array(kind[of]), pa.array(floor[of]), pa.array([vec[a] for a in of], pa.binary())], names=["cell", "i", "j", "home", "asked", "id", "class", "least", "vec"])
+
+        return each
 
-def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, least: float = 0.8, lines: int = 48, cell_rows: int = 300, probes: int = 3, most_cells: int = 4096, sample_rows: int = 65_536, seed: int = 11) -> DataFrame:
+    def search(group: pa.Table) -> pa.Table:
+        ids, kind = group.column("id").to_numpy(), group.column("class").to_numpy()
+        home, asked = (group.column(c).to_numpy(zero_copy_only=False) for c in ("home", "asked"))
+        # an id's equal vectors count once; as they are in the same cells, a home row and a query may stand for each other
+        _, first, same = np.unique(np.stack([ids, kind], 1), axis=0, return_index=True, return_inverse=True)
+        is_home, is_asked = np.zeros(len(first), bool), np.zeros(len(first), bool)
+        np.logical_or.at(is_home, same.ravel(), home)
+        np.logical_or.at(is_asked, same.ravel(), asked)
+        floor = np.full(len(first), -np.inf)
+        np.maximum.at(floor, same.ravel(), group.column("least").to_numpy())
+        held = group.column("vec").take(pa.array(first)).to_pylist()
+        q, p, s = neighbours_in_cell(ids[first], _unit(np.frombuffer(b"".join(held), np.float32), dim), is_home, is_asked, directions, k, floor, mutual=mutual)
+        return pa.table({"src_id": pa.array(q, pa.int64()), "dst_id": pa.array(p, pa.int64()), "sim": pa.array(s, pa.float64())})
+
+    form = "cell bigint, i int, j int, home boolean, asked boolean, id bigint, class bigint, least double, vec binary"
+    sent = spread(rows).mapInArrow(assign(True, queries is None), form)
+    if queries is not None:
+        sent = sent.unionByName(spread(queries).mapInArrow(assign(False, True), form))
+    return sent.groupBy("cell", "i", "j").applyInArrow(search, PAIRS)
+
+
+def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, least: float = 0.8, lines: int = 48, cell_rows: int = 400, probes: int = 3, sample_rows: int = 65_536, seed: int = 11) -> DataFrame:
     """(src_id, dst_id, sim, rank): for each id its k most similar other ids with cosine >= ``least``; ties by lower id.
 
     Approximate in which partners are found (windows and cells), exact in the similarity of those returned. Null, all-zero,
@@ -127,7 +296,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str =
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col, dim)
-    light = rows.select("id", F.xxhash64("vec").alias("class")).distinct()
+    light = rows.select("id", "class").distinct()
     classes = light.groupBy("class").agg(F.count("*").alias("n"))
     total, large = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if total < 2:
@@ -140,144 +309,26 @@ def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str =
         salted = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         excess = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["class", "salt"]).where(~F.array_contains("heads", F.col("id")))
         excess_links = excess.select(F.col("id").alias("src_id"), F.explode(F.slice("heads", 1, k)).alias("dst_id"), F.lit(1.0).alias("sim"))
-        rows = rows.join(excess.select("id"), "id", "left_anti")
-    cells = int(min(most_cells, max(1, total // cell_rows)))
-    wanted = int(min(sample_rows, 32 * cells))
-    parts = 1 << 20
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < int(np.ceil(parts * min(1.0, 1.2 * wanted / total)))).limit(wanted).select("vec").toArrow().column("vec").combine_chunks()
-    sample = _unit(sample.flatten().to_numpy(zero_copy_only=False), dim) if len(sample) else np.zeros((1, dim))
-    centre = fit_cells(sample, cells, seed=seed)
-    share = np.bincount(np.argmax(sample.astype(np.float32) @ centre.T, axis=1), minlength=len(centre)) / len(sample)
-    chunks = np.maximum(1, np.round(share * total / (8 * max(cell_rows, total / cells)))).astype(np.int64)  # crowded cells are split by rows
-    shared = spark.sparkContext.broadcast((centre, chunks))
-    directions = np.random.default_rng(seed).standard_normal((lines, dim)).astype(np.float32)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, chunks = shared.value
-        near = min(probes, len(centre))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            values = np.ascontiguousarray(batch.column("vec").flatten().to_numpy(zero_copy_only=False), np.float32)
-            score = _unit(values, dim).astype(np.float32) @ centre.T
-            top = np.argpartition(-score, near - 1, axis=1)[:, :near]
-            home = np.argmax(score, axis=1)
-            raw = values.tobytes()
-            vec = [raw[i : i + 4 * dim] for i in range(0, len(raw), 4 * dim)]
-            row, cell = np.repeat(np.arange(len(ids)), near), top.ravel()
-            times = chunks[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            is_home = (cell == home[row]) & (chunk == (ids[row] * 0x9E3779B1 >> 7) % chunks[cell])
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(is_home), pa.array(ids[row]), pa.array([vec[i] for i in row], pa.binary())], names=["cell", "chunk", "home", "id", "vec"])
-
-    def search(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        order = np.unique(ids, return_index=True)[1]
-        x = _unit(np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32), dim)[order]
-        q, p, s = neighbours_in_cell(ids[order], x, group.column("home").to_numpy(zero_copy_only=False)[order], directions, k, least)
-        return pa.table({"src_id": ids[order][q], "dst_id": ids[order][p], "sim": s.astype(np.float64)})
+        rows = rows.join(excess.select("id", "class"), ["id", "class"], "left_anti")
+    links = _search(rows, None, total, dim, k, least, lines, cell_rows, probes, sample_rows, seed)
+    return _best(links if excess_links is None else links.unionByName(excess_links), k)
 
-    links = spread(rows).mapInArrow(assign, "cell int, chunk int, home boolean, id bigint, vec binary").groupBy("cell", "chunk").applyInArrow(search, PAIRS)
-    if excess_links is not None:
-        links = links.unionByName(excess_links)
-    best = links.groupBy("src_id", "dst_id").agg(F.max("sim").alias("sim"))
-    by = Window.partitionBy("src_id").orderBy(F.desc("sim"), "dst_id")
-    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
-
-def search_similar(queries: DataFrame, vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, lines: int = 160, reach: float = 1.37, recall: float = 0.95, sample_rows: int = 32_768, block: int = 4096, seed: int = 13) -> DataFrame:
+def search_similar(queries: DataFrame, vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, lines: int = 48, cell_rows: int = 400, probes: int | None = None, sample_rows: int = 65_536, seed: int = 13) -> DataFrame:
     """(src_id, dst_id, sim, rank): for each query id its k most similar other ids at any similarity; ties by lower id.
 
-    Without a least similarity a neighbour may be hardly nearer than the rest, and cells would lose it; so every query is
-    counted against every vector. How far its windows have to reach follows from a bounded sample: the k-th best
-    similarity among its distinct ids is a lower bound of the k-th best of all, so no neighbour lies beyond that radius, and a vector at
-    that radius collides often enough with probability ``recall`` (nearer ones with a higher one). The arrays are the same
-    for all queries, only the windows differ. Queries are taken in blocks of ``block``, each broadcast to one pass over the
-    vectors, which are not shuffled. Unusable and repeated rows as in ``similar_vectors``.
+    The index is that of ``similar_vectors``: every vector in its home cell. Without a least similarity a neighbour may be
+    hardly nearer than the rest, so a query visits more cells, three times the square root of their number unless
+    ``probes`` says otherwise. How far its windows reach follows from a bounded sample: the k-th best similarity among at
+    most 8,192 distinct ids is a lower bound of the k-th best of all. Queries and vectors meet in a shuffle by cell;
+    neither comes to the driver and none is broadcast but the sample. Unusable and repeated rows as in ``similar_vectors``.
     """
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vec_col, dim), usable(queries, id_col, vec_col, dim)
+    rows = usable(vectors, id_col, vec_col, dim)
     total = rows.count()
-    parts = 1 << 20
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < int(np.ceil(parts * min(1.0, 1.2 * sample_rows / max(total, 1))))).dropDuplicates(["id"]).limit(sample_rows).toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], PAIRS + ", rank int")
-    shared = spark.sparkContext.broadcast((sample.column("id").to_numpy(), _unit(sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False), dim).astype(np.float32)))
-    directions = np.random.default_rng(seed).standard_normal((lines, dim)).astype(np.float32)
-    low = collision_threshold(lines, reach, recall)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, some = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                sim = _unit(batch.column("vec").flatten().to_numpy(zero_copy_only=False), dim).astype(np.float32) @ some.T
-                sim[own[:, None] == ids[None, :]] = -1
-                m = min(k, sim.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(np.partition(sim, -m, axis=1)[:, -m].astype(np.float64) - 1e-5 if m == k else np.full(len(own), -1.0))], names=["id", "vec", "least"])
-
-    def searcher(ids: np.ndarray, q: np.ndarray, least: np.ndarray):
-        held = spark.sparkContext.broadcast((ids, q, least))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, least = held.value
-            width = reach * np.sqrt(2 - 2 * least)
-            hq = (q.astype(np.float32) @ directions.T).astype(np.float64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, first = np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_index=True)
-                x = _unit(batch.column("vec").flatten().to_numpy(zero_copy_only=False), dim)[first]
-                h = x.astype(np.float32) @ directions.T
-                order = np.argsort(h, axis=0, kind="stable")
-                arrays = np.take_along_axis(h, order, axis=0)
-                place = np.empty(order.shape, np.uint16 if len(own) < 65_000 else np.uint32)
-                np.put_along_axis(place, order, np.arange(len(own), dtype=place.dtype)[:, None], axis=0)
-                place = np.ascontiguousarray(place.T)
-                out = []
-                for at in range(0, len(ids), 64):
-                    here = slice(at, at + 64)
-                    counts = np.zeros((len(ids[here]), len(own)), np.uint8)
-                    for j in range(lines):
-                        left = np.searchsorted(arrays[:, j], hq[here, j] - width[here], "left")
-                        right = np.searchsorted(arrays[:, j], hq[here, j] + width[here], "right")
-                        counts += ((place[j][None, :] - left.astype(place.dtype)[:, None]) < (right - left).astype(place.dtype)[:, None]).view(np.uint8)
-                    a, b = np.nonzero(counts >= low)
-                    sim = np.concatenate([np.einsum("ij,ij->i", q[at + a[i : i + 65_536]], x[b[i : i + 65_536]]) for i in range(0, len(a), 65_536)] or [np.empty(0)])
-                    keep = (sim >= least[at + a]) & (ids[at + a] != own[b])
-                    a, b, sim = a[keep], b[keep], sim[keep]
-                    best = np.lexsort((own[b], -sim, a))
-                    a, b, sim = a[best], b[best], sim[best]
-                    top = np.arange(len(a)) - np.searchsorted(a, a) < k
-                    out.append((ids[at + a[top]], own[b[top]], sim[top]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["src_id", "dst_id", "sim"])
-
-        return search
-
-    found = None
-    ids, vecs, least = [], [], []
-
-    def flush() -> DataFrame:
-        matrix = _unit(np.array(vecs, np.float64), dim)
-        one = spread(rows).mapInArrow(searcher(np.array(ids, np.int64), matrix, np.maximum(np.array(least), -1.0)), PAIRS)
-        return one if found is None else found.unionByName(one)
-
-    for r in asked.mapInArrow(bound, "id bigint, vec array<float>, least double").toLocalIterator():
-        ids.append(r["id"])
-        vecs.append(r["vec"])
-        least.append(r["least"])
-        if len(ids) == block:
-            found = flush()
-            ids, vecs, least = [], [], []
-    if ids:
-        found = flush()
-    if found is None:
+    if not total:
         return spark.createDataFrame([], PAIRS + ", rank int")
-    best = found.groupBy("src_id", "dst_id").agg(F.max("sim").alias("sim"))
-    by = Window.partitionBy("src_id").orderBy(F.desc("sim"), "dst_id")
-    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return _best(_search(rows, usable(queries, id_col, vec_col, dim), total, dim, k, -1.0, lines, cell_rows, probes, sample_rows, seed), k)
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:

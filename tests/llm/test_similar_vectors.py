@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from noctiluca.llm.similar_vectors import collision_threshold, fit_cells, neighbours_in_cell, search_similar, similar_pairs, similar_vectors
+from noctiluca.llm.similar_vectors import Cells, collision_threshold, fit_codebook, neighbours_in_cell, search_similar, similar_pairs, similar_vectors
 
 DIM = 16
 SCHEMA = "paper_id bigint, embedding array<float>, sim double, cell int, id string"
@@ -86,9 +86,11 @@ def test_narrow_windows_agree_with_wide_ones():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.arange(len(x))
     lines = rng.standard_normal((64, DIM)).astype(np.float32)
-    few = neighbours_in_cell(ids, x, np.ones(len(x), bool), lines, 4, 0.8)
-    one = neighbours_in_cell(ids, x, np.ones(len(x), bool), lines, 4, 0.8, steps=1)
+    all_rows, least = np.ones(len(x), bool), np.full(len(x), 0.8)
+    few = neighbours_in_cell(ids, x, all_rows, all_rows, lines, 4, least)
+    one = neighbours_in_cell(ids, x, all_rows, all_rows, lines, 4, least, steps=1)
     assert set(zip(*few[:2], strict=True)) == set(zip(*one[:2], strict=True))
+    assert len(few[0])
 
 
 @pytest.mark.parametrize("recall", [0.9, 0.97])
@@ -100,6 +102,34 @@ def test_threshold_follows_from_the_collision_curve(recall):
     assert sum(comb(48, i) * p**i * (1 - p) ** (48 - i) for i in range(low, 49)) >= recall - 0.02
 
 
-def test_cells_have_unit_length():
-    centre = fit_cells(clusters(np.random.default_rng(5)).astype(np.float64), 7)
+def test_codebook():
+    centre = fit_codebook(clusters(np.random.default_rng(5)).astype(np.float64), 7)
     assert centre.shape == (7, DIM)
+
+
+def test_cells_of_two_levels():
+    x = clusters(np.random.default_rng(7), 60, 20).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = Cells(x, 36, flat=8)
+    assert cells.count == 36
+    at = cells.nearest(x, 3)
+    whole = (cells.first[:, None, :] + cells.second[None, :, :]).reshape(-1, DIM)
+    best = np.argmin(((x[:, None, :] - whole[None, :, :]) ** 2).sum(axis=2), axis=1)
+    assert (at[:, 0] == best).mean() > 0.95
+    assert np.array_equal(np.sort(at, axis=1), np.sort([np.unique(r) for r in at], axis=1))
+
+
+def test_a_crowded_cell_is_cut_into_chunks(spark):
+    x = clusters(np.random.default_rng(8), 4, 60, 0.05)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    found = {(r["src_id"], r["dst_id"]) for r in similar_vectors(frame(spark, rows), dim=DIM, k=3, cell_rows=10, sample_rows=4, probes=4).collect()}
+    want = {(i, j) for i, v in brute(list(range(len(x))), x, 3, 0.8).items() for j in v}
+    assert len(found & want) >= 0.95 * len(want)
+
+
+def test_an_id_with_several_vectors(spark):
+    rng = np.random.default_rng(9)
+    a, b = ([float(v) for v in rng.standard_normal(DIM)] for _ in range(2))
+    got = {(r["src_id"], r["dst_id"]): r["sim"] for r in similar_vectors(frame(spark, [(1, a), (1, b), (2, a), (3, b), (1, a)]), dim=DIM, k=3).collect()}
+    assert set(got) == {(1, 2), (2, 1), (1, 3), (3, 1)}
+    assert all(abs(v - 1) < 1e-6 for v in got.values())
