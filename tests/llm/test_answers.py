@@ -60,3 +60,29 @@ def test_table(spark):
     assert flag_pairs(df).count() == 6
     assert {(r["id"], r["defect"]) for r in defective(flag_pairs(df)).collect()} == {("a", "empty"), ("c", "empty")}
     assert flag_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("answer", ["No", "No.", "Yes", "Missing", "Unknown.", "Nein.", "Ja", "Non.", "Oui", "Keine", "Sí", "Ninguna", "None of them.", "Yes indeed", "Only near the centre", "Both of them", "Some dust and gas", "Gravitational lensing by foreground galaxy clusters", "Adaptive optics with a laser guide star", "The cosmic microwave background", "I do not give the detector a bias; I know the information from flats is enough."])
+def test_short_answers_are_answers(answer):
+    assert defects("Is it?", answer) == []
+
+
+@pytest.mark.parametrize(("question", "answer"), [("Sind die Sterne in der Wolke anders als die in der Scheibe?", "Ich kann nicht sehen, dass es anders ist."), ("Pourquoi ces disques sont-ils si anciens ?", "Je ne sais pas si la poussière est chaude, mais elle est visible.")])
+def test_doubt_is_no_refusal(question, answer):
+    assert defects(question, answer) == []
+
+
+@pytest.mark.parametrize("answer", ["Le stelle si sono formate presto e non sono cambiate da allora.", "As estrelas foram formadas cedo e não mudaram desde então.", "De sterren zijn vroeg ontstaan en daarna niet meer veranderd."])
+def test_languages_that_are_not_asked_in(answer):
+    assert defects("How old are the stars that are found in the outer disc?", answer) == ["other_language"]
+
+
+@pytest.mark.parametrize("answer", ["Isochrone ages cluster around 7.78 Gyr with a scatter of", "It drops. A gradient in stellar age", "They were formed early and have not", "A detection would be hard to recon"])
+def test_broken_off(answer):
+    assert defects(Q, answer) == ["truncated"]
+
+
+def test_first_defect_of_a_repeated_id(spark):
+    rows = [("a", Q, Q), ("a", Q, "I cannot answer this request."), ("b", Q, None), ("b", Q, "It drops because of the")]
+    df = spark.createDataFrame(rows, "id string, question string, reference_answer string")
+    assert {(r["id"], r["defect"]) for r in defective(flag_pairs(df)).collect()} == {("a", "question_copy"), ("b", "empty")}
