@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctiluca.session import spread
+from noctiluca.session import bounded_batches, spread
 
 STATES = ("plain", "html", "markdown", "wiki", "latex")
 DIALECTS = STATES[1:]
@@ -101,6 +101,9 @@ OWN_DIALECT = {
     **dict.fromkeys(("fence", "image", "mdlink", "reflink", "mdnote", "strong", "emph", "strike", "codespan", "atx", "setext", "mdtable", "dash_item", "star_item", "number_item", "quote_line", "hard_break"), "markdown"),
 }
 LOOKALIKES = frozenset(("seconds", "class_star", "price", "inner_underscore", "tilde", "bracket", "braces", "bar", "equals", "hash", "ampersand", "angle", "odd_tag"))
+#: Cues that plain texts have as well, such as blanks at the ends of lines: they are taken out of the clean text, but a
+#: dialect is only found where another of its marks stands.
+WEAK = frozenset(("hard_break",))
 _RAW = frozenset(("fence", "codespan", "comment"))
 
 
@@ -456,7 +459,7 @@ def without_elements(text: str) -> str:
 
 def clean_field(text: str, model: TreeModel) -> tuple[str, list[str], dict[str, float]]:
     """(clean text, dialects found, marginal of each dialect's surest mark)."""
-    surest = dict.fromkeys(DIALECTS, 0.0)
+    surest, shown = dict.fromkeys(DIALECTS, 0.0), dict.fromkeys(DIALECTS, 0.0)
     for turn in range(3):
         tree = parse(text)
         if not tree.children:
@@ -472,13 +475,15 @@ def clean_field(text: str, model: TreeModel) -> tuple[str, list[str], dict[str,
             if best and p[best] > 0.5:
                 taken.add(id(node))
                 surest[STATES[best]] = max(surest[STATES[best]], float(p[best]))
+                if node.cue not in WEAK:
+                    shown[STATES[best]] = surest[STATES[best]]
                 again |= node.cue == "entity"
         if not taken:
             break
         text = render(text, tree, taken)
         if not again or not re.search(r"<\s*/?[A-Za-z]|&[#\w]+;", text):
             break
-    return INVISIBLE.sub("", text).strip(), [d for d in DIALECTS if surest[d] > 0.5], surest
+    return INVISIBLE.sub("", text).strip(), [d for d in DIALECTS if shown[d] > 0.5], surest
 
 
 RESULT = "paper_id bigint, field_name string, clean_text string, markup array<string>, headings int, list_entries int, code_blocks int, formulas int"
@@ -487,17 +492,21 @@ RESULT = "paper_id bigint, field_name string, clean_text string, markup array<st
 def clean_markup(records: DataFrame, id_col: str = "paper_id", fields: tuple[str, ...] = ("title", "abstract"), sample_rows: int = 2000, pages: int = 3000, seed: int = 5) -> DataFrame:
     """One row per record and field: the clean text, the dialects whose residue it held, and counts of kept structure.
 
-    The model's labelled pages are made from the words of at most ``sample_rows`` rows (a documented bound); every row is
-    cleaned. A null field gives a null text and no dialects, an empty or blank one an empty text; repeated rows stay
+    The model's labelled pages are made from the words of at most ``sample_rows`` rows (a documented bound), those of least
+    hash of id and text, so the model doesn't depend on the order of rows; every row is cleaned. A null field gives a null text and no dialects, an empty or blank one an empty text; repeated rows stay
     repeated; further columns are not read and may have any name; an empty table gives no rows.
     """
     spark = records.sparkSession
     whole = records.select(F.col(f"`{id_col}`").cast("bigint").alias("paper_id"), *[F.col(f"`{f}`").cast("string").alias(f"_{i}") for i, f in enumerate(fields)])
-    some = [r[0] for r in whole.select(F.concat_ws(" ", *[f"_{i}" for i in range(len(fields))])).limit(sample_rows).collect()]
-    model = spark.sparkContext.broadcast(train(sorted(set(re.findall(r"[A-Za-z]{3,}", " ".join(some))))[:20_000], pages, seed))
+    joined = F.concat_ws(" ", *[f"_{i}" for i in range(len(fields))])
+    drawn = whole.select(F.xxhash64("paper_id", joined).alias("h"), joined.alias("t")).orderBy("h", "t").limit(sample_rows)
+    some = drawn.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("([A-Za-z]{3,})"), F.lit(1)))).alias("w")).distinct().orderBy("w").limit(20_000).collect()
+    model = spark.sparkContext.broadcast(train([r["w"] for r in some], pages, seed))
     long = whole.select("paper_id", F.posexplode(F.array(*[f"_{i}" for i in range(len(fields))])).alias("at", "text"))
     names = list(fields)
 
+    bounded_batches(spark)
+
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -517,3 +526,10 @@ def clean_markup(records: DataFrame, id_col: str = "paper_id", fields: tuple[str
 def residue(cleaned: DataFrame) -> DataFrame:
     """(paper_id, field_name, markup): a row for each dialect whose residue a field holds."""
     return cleaned.select("paper_id", "field_name", F.explode("markup").alias("markup")).distinct()
+
+
+def kept_structure(cleaned: DataFrame) -> DataFrame:
+    """(field_name, markup, fields, headings, list_entries, code_blocks, formulas): per field and dialect, how many fields
+    held residue and how much structure their clean text keeps. A field with two dialects counts for both."""
+    counts = [F.sum(c).cast("bigint").alias(c) for c in ("headings", "list_entries", "code_blocks", "formulas")]
+    return cleaned.select("field_name", F.explode("markup").alias("markup"), "headings", "list_entries", "code_blocks", "formulas").groupBy("field_name", "markup").agg(F.count("*").alias("fields"), *counts)

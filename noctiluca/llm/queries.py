@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noctiluca.llm.answers import defective, flag_pairs
 from noctiluca.llm.leakage import leaked, leaked_unchanged
-from noctiluca.llm.markup import clean_markup, residue
+from noctiluca.llm.markup import clean_markup, kept_structure, residue
 from noctiluca.llm.mixture import mix
 from noctiluca.llm.names import link_names, variant_pairs
 from noctiluca.llm.near_duplicates import grouped_pairs, near_duplicates
@@ -36,6 +36,10 @@ def p2_clean_text(spark: SparkSession, folder: str) -> DataFrame:
     return clean_markup(_read(spark, folder, "papers"))
 
 
+def p2_structure(spark: SparkSession, folder: str) -> DataFrame:
+    return kept_structure(clean_markup(_read(spark, folder, "papers")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return defective(flag_pairs(_read(spark, folder, "questions")))
 
@@ -97,5 +101,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_text, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_text, p2_structure, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}

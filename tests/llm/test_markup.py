@@ -1,6 +1,6 @@
 import pytest
 
-from noctiluca.llm.markup import clean_field, clean_markup, parse, residue, train, walk, without_markup
+from noctiluca.llm.markup import clean_field, clean_markup, kept_structure, parse, residue, train, walk, without_markup
 
 WORDS = "stars measure rotation velocity halo dust signal galaxy bright cluster survey angular merger".split()
 
@@ -21,7 +21,8 @@ def model():
         ("A **bold** word and a [link](http://x.example/y)", ["markdown"], "A bold word and a link"),
         ("## Data\n\n- one two\n- three four", ["markdown"], "## Data\n\n- one two\n- three four"),
         ("see\n\n```\na = 1\n```\n\nend", ["markdown"], "see\n\n```\na = 1\n```\n\nend"),
-        ("One line.  \nAnother line.  \nA third.", ["markdown"], "One line.\nAnother line.\nA third."),
+        ("One line.  \nAnother line.  \nA third.", [], "One line.\nAnother line.\nA third."),
+        ("One **line**.  \nAnother line.  \nA third.", ["markdown"], "One line.\nAnother line.\nA third."),
         ("padded text  \n", [], "padded text"),
         ("Text [[File:a.png|thumb]] on ''dust'' and [[halo|haloes]]", ["wiki"], "Text on dust and haloes"),
         ("== Aims ==\nStars\n* [[One]] is\n* [[Two]] is", ["wiki"], "## Aims\n\nStars\n- One is\n- Two is"),
@@ -92,3 +93,16 @@ def test_table(spark):
     assert got == {(1, "title", "html"), (None, "title", "markdown"), (None, "abstract", "wiki"), (None, "abstract", "latex")}
     assert {r["clean_text"] for r in out.where("paper_id = 2").collect()} == {None, ""}
     assert clean_markup(spark.createDataFrame([], schema), pages=200).count() == 0
+
+
+def test_kept_structure(spark):
+    schema = "paper_id bigint, title string, abstract string"
+    rows = [(1, "Plain", "## Data\n\n- one two\n- three four"), (2, "Plain", "\\section{Aims} of $H_0$ and $x^2$"), (3, "Plain", "Plain text."), (4, "Plain", "see\n\n```\na = 1\n```\n\nend")]
+    got = {(r["field_name"], r["markup"]): tuple(r)[2:] for r in kept_structure(clean_markup(spark.createDataFrame(rows, schema), pages=800)).collect()}
+    assert got == {("abstract", "markdown"): (2, 1, 2, 1, 0), ("abstract", "latex"): (1, 1, 0, 0, 2)}
+
+
+def test_model_is_the_same_in_any_order(spark):
+    rows = [(i, f"word{chr(97 + i % 26) * 3} <b>x</b>", f"text {chr(97 + i % 7) * 4} about stars") for i in range(200)]
+    one, other = (clean_markup(spark.createDataFrame(r, "paper_id bigint, title string, abstract string").repartition(n), sample_rows=20, pages=200) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
