@@ -42,7 +42,8 @@ def fill(c: Column, default: str = "", na_tokens: tuple[str, ...] = NA_TOKENS) -
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, BASE)
+    """Letters without their marks. A text of as many bytes as characters has none and is left as it is."""
+    return F.when(F.octet_length(c) > F.char_length(c), F.translate(c, ACCENTED, BASE)).otherwise(c)
 
 
 def tokens(c: Column) -> Column:
@@ -60,6 +61,20 @@ def ngrams_1_2(words: Column) -> Column:
     return F.get(F.transform(F.array(words), both), 0)
 
 
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>>: the distinct words of a list with their numbers. The sorted list is cut where a run of equal
+    words begins, so counting within a row needs no shuffle."""
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        ends = lambda s: F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(n))
+        both = F.get(F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.get(w, i).alias("term"), (j - i).cast("bigint").alias("tf")))), 0)
+        return F.when(n > 0, both).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    return F.get(F.transform(F.array(F.array_sort(words)), runs), 0)
+
+
 def split_list(c: Column, separator: str = ",") -> Column:
     """Parts of a separated list, stripped, blank ones dropped."""
     return F.filter(F.transform(F.split(c, separator), strip), lambda x: x != "")

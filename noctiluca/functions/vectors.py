@@ -15,9 +15,13 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """Length 1; null for a vector of length 0."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """Length 1; null for a vector of length 0. The norm is bound to a variable, so it is made once a vector, not once an
+    element."""
+
+    def scaled(n: Column) -> Column:
+        return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+
+    return F.get(F.transform(F.array(norm(a)), scaled), 0)
 
 
 def match_percent(similarity: Column) -> Column:

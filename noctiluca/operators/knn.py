@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctiluca.functions import vectors
+from noctiluca.session import cut
 
 #: Similarities that agree to so many decimals are ties, which go to the lower id.
 TIE_DECIMALS = 8
@@ -29,22 +30,21 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, dim: int = 128, block
     """(src_id, dst_id, sim, rank): the k most similar corpus vectors of every query vector, itself excluded; exact, in
     double precision, ties by lower id. Both sides are (id, vec); repeated rows count once.
 
-    The queries are a stated set, taken in blocks: each block is broadcast (block x dim doubles) to one pass over the
-    corpus, every task keeps k per query and batch, and the winners are merged by rank. The corpus isn't shuffled.
+    The queries are a stated set, taken in blocks of about half ``block``: one at a time comes to the driver and is
+    broadcast (block x dim doubles) to one pass over the corpus, every task keeps k per query and batch, and the winners are merged by rank. The corpus isn't shuffled.
     """
     spark = corpus.sparkSession
-    blocks: list[tuple[np.ndarray, np.ndarray]] = []
-    rows: dict[int, list[float]] = {}
-    for r in queries.toLocalIterator():
-        rows.setdefault(r["id"], r["vec"])
-        if len(rows) == block:
-            blocks.append((np.array(list(rows), np.int64), np.array(list(rows.values()), np.float64)))
-            rows = {}
-    if rows:
-        blocks.append((np.array(list(rows), np.int64), np.array(list(rows.values()), np.float64)))
+    asked = queries.select("id", "vec").dropDuplicates(["id"])
+    count = asked.count()
+    slices = max(1, -(-2 * count // block)) if count > block else 1
+    if slices > 1:
+        asked = cut(asked.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")))
     passes = []
-    for ids, matrix in blocks:
-        shared = spark.sparkContext.broadcast((ids, matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]))
+    for i in range(slices if count else 0):
+        held = (asked.where(F.col("slice") == i) if slices > 1 else asked).select("id", "vec").toArrow()
+        if not held.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((held.column("id").to_numpy(), _units(held.column("vec").combine_chunks(), dim)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
@@ -98,10 +98,40 @@ def nested_recommendations(recs: DataFrame) -> DataFrame:
     return recs.groupBy("src_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["category"].alias("category"), x["match_pct"].alias("match_pct"))).alias("recommendations"))
 
 
+def top_similar(query: list[float], corpus: DataFrame, k: int) -> DataFrame:
+    """(id, score): the k ids most similar to a query vector. Every task keeps the k best ids of its rows, repeated ones
+    once, so k rows a task are all that is moved."""
+    q = np.array(query, np.float64)
+    q = q / np.sqrt(q @ q)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, score = np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            if batch.num_rows:
+                ids, score = np.r_[ids, batch.column("id").to_numpy()], np.r_[score, np.round(_units(batch.column("vec"), len(q)) @ q, TIE_DECIMALS)]
+                order = np.lexsort((-score, ids))
+                ids, score = ids[order], score[order]
+                first = np.r_[True, ids[1:] != ids[:-1]]
+                ids, score = ids[first], score[first]
+                top = np.lexsort((ids, -score))[:k]
+                ids, score = ids[top], score[top]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(score)], names=["id", "score"])
+
+    found = corpus.select("id", "vec").mapInArrow(best, "id bigint, score double")
+    return found.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def semantic_search(query: list[float], corpus: DataFrame, papers: DataFrame, k: int = 5) -> DataFrame:
-    """The k papers most similar to a query vector, with their records. A literal vector, a projection and a top-k: the
-    corpus is neither shuffled nor sorted as a whole."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    score = F.round(vectors.dot(vectors.unit(F.col("vec")), vectors.unit(q)), TIE_DECIMALS)
-    best = corpus.select("id", score.alias("score")).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    return best.join(papers, best["id"] == papers["paper_id"]).select("id", "title", "category", "abstract", "combined_text", "authors", "published", "url", "score").orderBy(F.desc("score"), "id")
+    """The k papers most similar to a query vector, with their records. The k rows found are broadcast to the records, so
+    neither the corpus nor the records are shuffled."""
+    best = F.broadcast(top_similar(query, corpus, k))
+    return papers.join(best, best["id"] == papers["paper_id"]).select("id", "title", "category", "abstract", "combined_text", "authors", "published", "url", "score").orderBy(F.desc("score"), "id")
+
+
+def text_search(query: str, embed: Callable[..., DataFrame], corpus: DataFrame, papers: DataFrame, k: int = 5) -> DataFrame:
+    """``semantic_search`` of a text: ``embed`` is the embedder (df, id_col, text_col) -> (id, vec) that made the corpus
+    vectors. A text without a vector (no known words) finds nothing."""
+    asked = embed(papers.sparkSession.createDataFrame([(0, query)], "id bigint, text string"), "id", "text").first()
+    if asked is None:
+        return semantic_search([1.0] * 2, corpus.limit(0), papers, k)
+    return semantic_search(list(asked["vec"]), corpus, papers, k)

@@ -15,7 +15,8 @@ from noctiluca.session import cut, spread
 
 
 def moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance of (id, vec); each task adds up its rows, so dim x dim numbers per task are moved."""
+    """Count, mean and covariance of (id, vec). Each task adds up its rows; the sums of the tasks are added by place on the
+    executors, so dim x dim + dim + 1 numbers come to the driver whatever the number of tasks."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, square = 0, np.zeros(dim), np.zeros((dim, dim))
@@ -23,15 +24,23 @@ def moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
             if len(b):
                 x = np.stack(b["vec"].to_list()).astype(np.float64)
                 n, total, square = n + len(x), total + x.sum(axis=0), square + x.T @ x
-        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "square": [square.ravel().tolist()]})
+        yield pd.DataFrame({"place": np.arange(1 + dim + dim * dim), "value": np.r_[n, total, square.ravel()]})
 
-    n, total, square = 0, np.zeros(dim), np.zeros((dim, dim))
-    for r in vectors.select("vec").mapInPandas(add, "n bigint, total array<double>, square array<double>").toLocalIterator():
-        n, total, square = n + r["n"], total + np.array(r["total"]), square + np.array(r["square"]).reshape(dim, dim)
+    added = vectors.select("vec").mapInPandas(add, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+    sums = np.zeros(1 + dim + dim * dim)
+    sums[added["place"].to_numpy()] = added["value"].to_numpy()
+    n, total, square = int(sums[0]), sums[1 : dim + 1], sums[dim + 1 :].reshape(dim, dim)
     mean = total / max(n, 1)
     return n, mean, square / max(n, 1) - np.outer(mean, mean)
 
 
+def covariances(vectors: DataFrame, dim: int) -> DataFrame:
+    """(i, j, covariance) for i <= j, of (id, vec): what the principal components are made from."""
+    _, _, cov = moments(vectors, dim)
+    i, j = np.triu_indices(dim)
+    return vectors.sparkSession.createDataFrame(pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "covariance": cov[i, j]}))
+
+
 def principal_axes(vectors: DataFrame, dim: int, count: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(mean, axes): the directions of largest variance; the sign makes each axis' largest entry positive."""
     _, mean, cov = moments(vectors, dim)

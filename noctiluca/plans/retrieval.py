@@ -118,6 +118,8 @@ per AS (SELECT claim_id, max(coalesce(supported, false)::INT) AS ok FROM c GROUP
 SELECT count(*) AS claims, round(avg(ok), 6) AS supported_claim_rate, (SELECT count(*) FROM c WHERE chunk_id IS NOT NULL) AS citations, (SELECT round(avg(coalesce(supported, false)::INT), 6) FROM c WHERE chunk_id IS NOT NULL) AS citation_precision FROM per""")
 def claim_support(spark: SparkSession, folder: str) -> DataFrame:
     questions = read(spark, folder, "questions")
-    texts = read(spark, folder, "paper_chunks").groupBy("chunk_id").agg(F.min("chunk_text").alias("text"))
-    cited = questions.select(F.col("id").alias("claim_id"), "keywords", F.explode_outer("gold_chunks").alias("chunk_id")).join(texts, "chunk_id", "left")
+    cited = questions.select(F.col("id").alias("claim_id"), "keywords", F.explode_outer("gold_chunks").alias("chunk_id"))
+    items = read(spark, folder, "paper_chunks").select(F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
+    texts = retrieval.least_texts(items, cited.select(F.col("chunk_id").alias("item_id"))).withColumnRenamed("item_id", "chunk_id")
+    cited = cited.join(texts, "chunk_id", "left")
     return support_rates(cited.select("claim_id", "chunk_id", F.contains(F.lower("text"), F.lower(F.get("keywords", 0))).alias("supported")))

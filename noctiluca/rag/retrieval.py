@@ -7,19 +7,40 @@ from pyspark.sql import functions as F
 
 from noctiluca.functions import text
 from noctiluca.operators.knn import nearest
+from noctiluca.session import cut
+
+
+def chosen_texts(items: DataFrame) -> DataFrame:
+    """(item_id, hash): of every item the hash of its least text. Ids and hashes are shuffled; texts only of ids that come
+    with different ones."""
+    some = items.where("item_id is not null").select("item_id", "text", F.xxhash64("text").alias("hash"))
+    seen = some.groupBy("item_id").agg(F.min("hash").alias("hash"), F.max("hash").alias("other"))
+    several = some.join(seen.where("hash <> other").select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", F.xxhash64("text").alias("hash"))
+    return seen.where("hash = other").select("item_id", "hash").unionByName(several)
+
+
+def least_texts(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(item_id, text): the least text of each of the wanted items; other items' texts are not shuffled."""
+    return items.join(wanted.select("item_id").distinct(), "item_id", "left_semi").groupBy("item_id").agg(F.min("text").alias("text"))
 
 
 def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, decimals: int = 6) -> DataFrame:
     """(query_id, item_id, score, rank): the k best items (item_id, text) of every query (query_id, text).
 
     idf is ln(1 + (n - df + 0.5) / (df + 0.5)); a query term counts once; scores that agree to ``decimals`` are ties, which
-    go to the lower item_id. Repeated items count once. Only postings of terms that occur in a query are shuffled; term
-    counts are taken within each item first."""
-    docs = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", text.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))
+    go to the lower item_id. Of repeated items the least text counts. Terms are counted within each row, and only postings
+    of terms that occur in a query are shuffled; texts are not."""
+    words = text.tokens(F.coalesce("text", F.lit("")))
+    rows = items.where("item_id is not null").select("item_id", F.xxhash64("text").alias("hash"), words.alias("w"))
+    held = rows.groupBy("item_id", "hash").agg(F.max(F.size("w")).alias("len"), F.count("*").alias("copies"))
+    chosen = cut(held.join(chosen_texts(items), ["item_id", "hash"], "left_semi"))
+    size = chosen.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(text.tokens(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
     terms = asked.select("term").distinct()
-    postings = docs.select("item_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("item_id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = rows.select("item_id", "hash", F.explode("w").alias("term")).join(terms, "term", "left_semi")
+    # a repeated row counts as often as it stands there: the number of copies divides its terms out again
+    counts = hits.groupBy("item_id", "hash", "term").agg(F.count("*").alias("times"))
+    postings = cut(counts.join(chosen, ["item_id", "hash"]).select("item_id", "len", "term", (F.col("times") / F.col("copies")).cast("bigint").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = postings.join(df, "term").crossJoin(F.broadcast(size))
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -46,7 +67,7 @@ def rerank(found: DataFrame, second: DataFrame, k: int, weight: float = 0.5) ->
 def keyword_coverage(pairs: DataFrame, questions: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, item_id, score): share of a question's keywords that stand in the item; the second scorer of ``rerank``.
     questions is (query_id, keywords), items (item_id, text)."""
-    texts = items.groupBy("item_id").agg(F.min("text").alias("text"))
+    texts = least_texts(items, pairs)
     joined = pairs.select("query_id", "item_id").distinct().join(questions.select("query_id", "keywords"), "query_id").join(texts, "item_id")
     held = F.size(F.filter("keywords", lambda w: F.contains(F.lower("text"), F.lower(w))))
     return joined.select("query_id", "item_id", F.when(F.size("keywords") > 0, held / F.size("keywords")).otherwise(0.0).alias("score"))
