@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Everything Python's str.isspace() takes for white space, as a character class for both Java and RE2.
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 #: A token of the vectoriser: a maximal run of at least two word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -32,7 +33,7 @@ def collapse(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without outer white space; null stays null."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def fill(c: Column, default: str = "", na_tokens: tuple[str, ...] = NA_TOKENS) -> Column:
@@ -72,7 +73,7 @@ def counted(words: Column) -> Column:
         both = F.get(F.transform(F.array(starts), lambda s: F.zip_with(s, ends(s), lambda i, j: F.struct(F.get(w, i).alias("term"), (j - i).cast("bigint").alias("tf")))), 0)
         return F.when(n > 0, both).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
-    return F.get(F.transform(F.array(F.array_sort(words)), runs), 0)
+    return F.get(F.transform(F.array(F.sort_array(words)), runs), 0)
 
 
 def split_list(c: Column, separator: str = ",") -> Column:

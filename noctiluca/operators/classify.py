@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noctiluca.functions import text
+from noctiluca.session import spread
 
 VOCABULARY = 8000
 
@@ -29,8 +30,8 @@ def encode_labels(df: DataFrame, label: str = "category") -> DataFrame:
 
 def _counted_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf): the words and word pairs of each text, counted within its row."""
-    words = text.tokens(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(F.col(id_col).alias("id"), F.explode(text.counted(text.ngrams_1_2(words))).alias("t")).select("id", "t.term", "t.tf")
+    rows = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    return rows.select("id", F.explode(text.counted(text.ngrams_1_2(text.tokens(F.col("text"))))).alias("t")).select("id", "t.term", "t.tf")
 
 
 def term_statistics(df: DataFrame, id_col: str, text_col: str, limit: int = VOCABULARY) -> DataFrame:

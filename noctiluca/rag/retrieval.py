@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from noctiluca.functions import text
 from noctiluca.operators.knn import nearest
-from noctiluca.session import cut
+from noctiluca.session import cut, spread
+
+
+#: Most query terms that are broadcast to the postings.
+BROADCAST_TERMS = 200_000
 
 
 def chosen_texts(items: DataFrame) -> DataFrame:
@@ -31,12 +35,14 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = 1.2, b:
     go to the lower item_id. Of repeated items the least text counts. Terms are counted within each row, and only postings
     of terms that occur in a query are shuffled; texts are not."""
     words = text.tokens(F.coalesce("text", F.lit("")))
-    rows = items.where("item_id is not null").select("item_id", F.xxhash64("text").alias("hash"), words.alias("w"))
+    rows = spread(items.where("item_id is not null").select("item_id", "text")).select("item_id", F.xxhash64("text").alias("hash"), words.alias("w"))
     held = rows.groupBy("item_id", "hash").agg(F.max(F.size("w")).alias("len"), F.count("*").alias("copies"))
     chosen = cut(held.join(chosen_texts(items), ["item_id", "hash"], "left_semi"))
     size = chosen.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(text.tokens(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
     terms = asked.select("term").distinct()
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:  # else terms and postings meet in a shuffle
+        terms = F.broadcast(terms)
     hits = rows.select("item_id", "hash", F.explode("w").alias("term")).join(terms, "term", "left_semi")
     # a repeated row counts as often as it stands there: the number of copies divides its terms out again
     counts = hits.groupBy("item_id", "hash", "term").agg(F.count("*").alias("times"))
