@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from noctiluca.llm.components import components
 from noctiluca.llm.near_duplicates import grouped_pairs, near_duplicates
 from noctiluca.llm.sketches import Forest, lanes_within, near_in_block, planes_of, radius
-from noctiluca.llm.split_overlap import overlap_report, overlapping_pairs, overlapping_records, split_overlap
-from noctiluca.llm.words import words
+from noctiluca.llm.split_overlap import in_map, overlap_report, overlapping_pairs, overlapping_records, split_overlap
+from noctiluca.llm.words import mixed, words
 
 SCHEMA = "paper_id bigint, title string, abstract string, category string, key string, side int, component int, id string, f0 string"
 
@@ -59,7 +59,10 @@ def test_groups_against_brute_force(spark):
             if likeness(s[ids[x]], s[ids[y]]) >= 0.55:
                 forest.join(x, y)
     want = {(ids[x], ids[y]) for x in range(len(ids)) for y in range(x + 1, len(ids)) if forest.root(x) == forest.root(y)}
-    found = near_duplicates(frame(spark, rows)).cache()
+    plain = near_duplicates(frame(spark, rows))
+    assert plain.columns == ["id", "class_id", "group_id"]
+    assert {(r["paper_id_a"], r["paper_id_b"]) for r in grouped_pairs(plain).collect()} == want
+    found = near_duplicates(frame(spark, rows), links=True).cache()
     assert {(r["paper_id_a"], r["paper_id_b"]) for r in grouped_pairs(found).collect()} == want
     assert sorted(r["id"] for r in found.collect()) == ids
     for r in found.collect():
@@ -68,17 +71,34 @@ def test_groups_against_brute_force(spark):
         assert r["links"] == len(others)
 
 
-def test_chunks_of_a_large_component(spark):
+def test_chunks_of_a_large_component(spark, monkeypatch):
     import noctiluca.llm.near_duplicates as nd
 
     rows = collection(random.Random(6), bases=8, copies=9)
-    whole = {(r["paper_id_a"], r["paper_id_b"]) for r in grouped_pairs(near_duplicates(frame(spark, rows))).collect()}
-    plain = nd.compare_components
-    try:
-        nd.compare_components = lambda *a, **k: plain(*a, **k, chunk=2)
-        assert {(r["paper_id_a"], r["paper_id_b"]) for r in grouped_pairs(near_duplicates(frame(spark, rows))).collect()} == whole
-    finally:
-        nd.compare_components = plain
+    pairs = lambda **k: {(r["paper_id_a"], r["paper_id_b"]) for r in grouped_pairs(near_duplicates(frame(spark, rows), **k)).collect()}
+    whole = pairs()
+    assert pairs(links=True) == whole
+    for name, links in (("compare_components", True), ("verified_links", False)):
+        plain = getattr(nd, name)
+        monkeypatch.setattr(nd, name, lambda *a, plain=plain, **k: plain(*a, **k, chunk=2))
+        assert pairs(links=links) == whole
+
+
+def test_parts_of_a_large_component_are_joined(spark):
+    """Edges that don't hold leave a component in parts; what links the parts is found, within one task and in chunks."""
+    import struct
+
+    import noctiluca.llm.near_duplicates as nd
+
+    base = [frozenset(range(100 * g, 100 * g + 60)) for g in range(3)]
+    sets = [b | {1000 + 10 * g + i} for g, b in enumerate(base) for i in range(5)] + [frozenset(list(base[0])[:55] + [5000, 5001])]
+    rows = [(i, struct.pack(f"{len(x)}I", *sorted(x))) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "key bigint, set binary")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(len(sets) - 1)], "a bigint, b bigint")
+    want = {i: (0 if i == 15 else i // 5 * 5) for i in range(16)}
+    for chunk in (2, 100):
+        links = nd.verified_links(edges, components(edges), table, 0.8, chunk)
+        assert {r["node"]: r["component"] for r in components(links).collect()} == want
 
 
 def test_empty(spark):
@@ -141,3 +161,25 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (101, 100)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_a_short_record_inside_a_long_one(spark):
+    short = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, "a b c", short), (2, "other words here", "a b c " + short + " " + " ".join(f"t{i}" for i in range(400))), (3, "x y z", "nothing of it at all")]
+    df = spark.createDataFrame(rows, "paper_id bigint, title string, abstract string")
+    splits = spark.createDataFrame([(1, "test"), (2, "train"), (3, "train")], "paper_id bigint, split string")
+    members, overlaps = split_overlap(df, splits)
+    row = overlaps.first()
+    assert overlaps.count() == 1 and row["containment"] == 1.0 and row["likeness"] < 0.2
+    assert [tuple(r)[:2] for r in overlapping_records(members, overlaps).collect()] == [(1, 1)]
+    assert overlapping_pairs(members, overlaps).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.integers(16, 20))
+def test_a_bit_map_loses_nothing(values, bits):
+    x = np.array(values, np.uint64)
+    held = np.zeros(1 << (bits - 3), np.uint8)
+    at = mixed(x) >> np.uint64(64 - bits)
+    np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    assert in_map(held, x).all()
