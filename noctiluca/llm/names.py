@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctiluca.llm.components import components
+from noctiluca.llm.near_duplicates import tasks_for
 from noctiluca.llm.words import INVISIBLE, mixed
 from noctiluca.session import cut, spread
 
@@ -176,33 +177,68 @@ def monge_elkan(a: tuple[str, str, str, bool], b: tuple[str, str, str, bool]) ->
     return sum(best) / len(best) if min(best) > 0 else 0.0
 
 
+def meeting_keys(form: tuple[str, str, str, bool]) -> tuple[set[str], set[str]]:
+    """(held, asked): two given names can only be alike if one of them asks for a key that the other holds. Names hold
+    themselves, their full names, first letters, beginnings and forms with one letter left out; so comparing the names of
+    one family takes time near their number, not its square."""
+    _, given, initials, _ = form
+    if form[0][:1] != "p":
+        return {"*"}, {"*"}
+    if not given:
+        letter = "i" + initials[:1]
+        return {letter, "j" + initials[:1]}, {letter, "l" + initials[:1]}
+    full = FULL_NAMES.get(given, frozenset()) | {given}
+    less = {"d" + given[:i] + given[i + 1 :] for i in range(len(given))} | {"d" + given} if len(given) >= 3 else set()
+    letters = {n[:1] for n in full}
+    held = {"f" + n for n in full} | less | {"b" + given[:i] for i in range(1, len(given) + 1)} | {"l" + c for c in letters}
+    asked = {"f" + n for n in full} | less | {"b" + given, "j" + given[:1]} | {"w" + given[:i] for i in range(1, len(given))} | {"j" + c for c in letters}
+    return held | {"w" + given}, asked
+
+
 def stars(forms: list[tuple[tuple[str, str, str, bool], int, int, bool]], least: float = 0.8) -> list[tuple[int, float]]:
     """Star clustering of the forms that met under one key: (form, weight, spellings, own), where forms of another key
     (typing errors, short names) can only become leaves. Returns for each form its centre and likeness, or (-1, 0)."""
     order = sorted(range(len(forms)), key=lambda i: (not forms[i][3], not forms[i][0][1], forms[i][0][3], -forms[i][1], forms[i][0]))
-    centres: list[int] = []
+    rank: dict[int, int] = {}
+    holders: dict[str, list[int]] = {}
+    keys = [meeting_keys(f[0]) for f in forms]
     out = [(-1, 0.0)] * len(forms)
     for i in order:
         form, _, _, own = forms[i]
-        ranked = sorted(((monge_elkan(form, forms[c][0]), forms[c][1], -n, c) for n, c in enumerate(centres)), reverse=True)
-        if ranked and ranked[0][0] >= least:
-            out[i] = (ranked[0][3], ranked[0][0])
+        near = {c for k in keys[i][1] for c in holders.get(k, ())}
+        best = max(((monge_elkan(form, forms[c][0]), forms[c][1], -rank[c], c) for c in near), default=(0.0, 0, 0, -1))
+        if best[0] >= least:
+            out[i] = (best[3], best[0])
         elif own:
-            centres.append(i)
+            rank[i] = len(rank)
             out[i] = (i, 1.0)
+            for k in keys[i][0]:
+                holders.setdefault(k, []).append(i)
     # stars whose leaves are alike are one, unless some of their initials contradict each other: a centre may be a nickname
     # or hold a typing error itself
-    for n, c in enumerate(centres):
-        for d in centres[:n]:
-            mine, theirs = ([i for i in order if forms[i][3] and out[i][0] == x] for x in (c, d))
-            if not mine or not theirs or (forms[c][0][1] or forms[c][0][2])[:1] != (forms[d][0][1] or forms[d][0][2])[:1]:
-                continue
-            further = [{(f[2] if f[1] else f[2][1:])[:1] for f, *_ in (forms[i] for i in group)} - {""} for group in (mine, theirs)]
-            if not (further[0] and further[1] and further[0] != further[1]) and any(monge_elkan(forms[i][0], forms[j][0]) >= least for i in mine for j in theirs):
-                for i in [i for i in order if out[i][0] == c]:
-                    out[i] = (d, out[i][1])
-                break
-    return out
+    leaves: dict[int, list[int]] = {}
+    for i in order:
+        if forms[i][3]:
+            leaves.setdefault(out[i][0], []).append(i)
+    first = {c: (forms[c][0][1] or forms[c][0][2])[:1] for c in rank}
+    further = {c: {(forms[i][0][2] if forms[i][0][1] else forms[i][0][2][1:])[:1] for i in group} - {""} for c, group in leaves.items()}
+    star_of: dict[str, list[tuple[int, int]]] = {}
+    joined: dict[int, int] = {}
+    for c in rank:
+        met: dict[int, bool] = {}
+        for i in leaves.get(c, ()):
+            for k in keys[i][1]:
+                for d, j in star_of.get(k, ()):
+                    if not met.get(d) and first[c] == first[d] and not (further[c] and further[d] and further[c] != further[d]):
+                        met[d] = monge_elkan(forms[i][0], forms[j][0]) >= least
+        to = min((d for d, yes in met.items() if yes), key=rank.__getitem__, default=c)
+        if to != c:
+            joined[c] = to
+            further[to] = further[to] | further[c]
+        for i in leaves.get(c, ()):
+            for k in keys[i][0]:
+                star_of.setdefault(k, []).append((to, i))
+    return [(joined.get(c, c), sim) for c, sim in out]
 
 
 def author_names(records: DataFrame, authors_col: str = "authors") -> DataFrame:
@@ -212,22 +248,27 @@ def author_names(records: DataFrame, authors_col: str = "authors") -> DataFrame:
     return entry.where(~F.lower("name").rlike(r"^(et\.? al\.?|and others|u\. ?a\.|)$")).groupBy("name").agg(F.count("*").alias("times"))
 
 
-def _given_names(names: DataFrame, least: int, most: int) -> frozenset[str]:
-    """Words that stand first in names more often than last and in at least ``least`` names: the given names. Their
-    number doesn't follow the number of names; at most ``most`` are taken, the most frequent ones."""
+def words_of_names(names: DataFrame) -> DataFrame:
+    """(name, times, word, first, last): the long words of each name, and whether a word opens or ends one of several; a
+    name without long words has one row without a word."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for name in batch["name"]:
+            rows = []
+            for name, times in zip(batch["name"], batch["times"], strict=True):
                 group, long, _ = split_name(name)
-                if not group and len(long) >= 2:
-                    seen.setdefault(long[0], [0, 0])[0] += 1
-                    seen.setdefault(long[-1], [0, 0])[1] += 1
-            yield pd.DataFrame([(w, a, b) for w, (a, b) in seen.items()], columns=["word", "first", "last"])
+                some = [] if group else long
+                rows += [(name, times, w, int(len(some) > 1 and i == 0), int(len(some) > 1 and i == len(some) - 1)) for i, w in enumerate(some)] or [(name, times, None, 0, 0)]
+            yield pd.DataFrame(rows, columns=["name", "times", "word", "first", "last"])
+
+    return names.select("name", "times").mapInPandas(each, "name string, times bigint, word string, first int, last int")
+
 
-    counted = names.mapInPandas(each, "word string, first bigint, last bigint").groupBy("word").agg(F.sum("first").alias("first"), F.sum("last").alias("last"))
-    return frozenset(r["word"] for r in counted.where((F.col("first") > F.col("last")) & (F.col("first") + F.col("last") >= least)).orderBy(F.desc("first"), "word").limit(most).select("word").collect())
+def given_names(words: DataFrame, sure: float = 2.0) -> DataFrame:
+    """(word): the words that open names more often than they end them, by so many standard deviations of a fair coin. How
+    much evidence that takes doesn't depend on the size of the table, and all such words are taken."""
+    counted = words.where("word is not null").groupBy("word").agg(F.sum("first").alias("first"), F.sum("last").alias("last"))
+    return counted.where(F.col("first") - F.col("last") > sure * F.sqrt(F.col("first") + F.col("last"))).select("word")
 
 
 def similar_keys(keys: DataFrame, likeness: float, rows: int, recall: float, blocks: int) -> DataFrame:
@@ -281,7 +322,7 @@ def similar_keys(keys: DataFrame, likeness: float, rows: int, recall: float, blo
 FORMS = "name string, times bigint, key string, given string, initials string, cut boolean, parts array<string>"
 
 
-def link_names(records: DataFrame, authors_col: str = "authors", likeness: float = 0.5, rows: int = 3, recall: float = 0.995, least: float = 0.8, given_least: int = 8, given_most: int = 50_000, blocks: int | None = None) -> DataFrame:
+def link_names(records: DataFrame, authors_col: str = "authors", likeness: float = 0.5, rows: int = 3, recall: float = 0.995, least: float = 0.8, sure: float = 2.0) -> DataFrame:
     """(name, times, entity): every distinct name with the centre of its star, a person or collaboration.
 
     The forms of a family name or collaboration that is a typing error away from a better attested one, or a part of a
@@ -289,22 +330,24 @@ def link_names(records: DataFrame, authors_col: str = "authors", likeness: float
     another if its centre found one there, that is, if the given names and initials agree, and takes its leaves along.
     Null, empty and blank entries and 'et al.' are no names; repeated rows only raise a name's weight; other columns are
     not read; an empty table gives no rows. Spellings of one normal form are taken together before names are compared,
-    and are then compared with the centres of their key only, never with each other.
+    and are then compared with the centres of their key only, and of these with those whose given names can be alike, so
+    a family name of very many forms takes time near their number. Which words are given names follows from how surely
+    (``sure`` standard deviations) they open names rather than end them.
     """
-    spark = records.sparkSession
-    blocks = blocks or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = author_names(records, authors_col)
-    names = spread(cut(names))
-    given = spark.sparkContext.broadcast(_given_names(names, given_least, given_most))
+    words = cut(words_of_names(spread(cut(names))))
+    known = words.join(given_names(words, sure).withColumn("is_given", F.lit(True)), "word", "left").groupBy("name").agg(F.first("times").alias("times"), F.array_compact(F.collect_set(F.when(F.col("is_given"), F.col("word")))).alias("given_words"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            forms = [normal_form(n, given.value) for n in batch["name"]]
+            forms = [normal_form(n, frozenset(g)) for n, g in zip(batch["name"], batch["given_words"], strict=True)]
             yield pd.DataFrame({"name": batch["name"], "times": batch["times"], "key": [f[0] for f in forms], "given": [f[1] for f in forms], "initials": [f[2] for f in forms], "cut": [f[3] for f in forms], "parts": [f[4] for f in forms]})
 
-    parsed = cut(names.mapInPandas(parse, FORMS))
+    parsed = cut(known.mapInPandas(parse, FORMS))
     forms = parsed.groupBy("key", "given", "initials", "cut").agg(F.sum("times").alias("weight"), F.count("*").alias("spellings"))
     keys = cut(parsed.groupBy("key").agg(F.count("*").alias("names"), F.sum("times").alias("weight")))
+    distinct = keys.count()
+    blocks, tasks = tasks_for(distinct, bands_for(likeness, rows, recall) * 40), tasks_for(parsed.count(), 200)
     near = similar_keys(keys.where(F.length("key") > 5).where(~F.col("key").startswith("a|")).select("key"), likeness, rows, recall, blocks)
     both = near.union(near.select("b", "a"))
     small, large = keys.select(F.col("key").alias("a"), F.col("names").alias("small"), F.col("weight").alias("small_w")), keys.select(F.col("key").alias("b"), F.col("names").alias("large"), F.col("weight").alias("large_w"))
@@ -331,7 +374,6 @@ def link_names(records: DataFrame, authors_col: str = "authors", likeness: float
         types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.float64(), pa.int64()]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
-    tasks = blocks * 4
     form = ["key", "given", "initials", "cut"]
     stars_of = cut(there.withColumn("task", F.pmod(F.xxhash64("at"), F.lit(tasks)).cast("int")).select("task", "at", *form, "weight", "spellings", "own").groupBy("task").applyInArrow(cluster, "key string, given string, initials string, cut boolean, entity string, own boolean, sim double, centre_weight bigint"))
     at_home = stars_of.where("own").select(*form, "entity")

@@ -57,7 +57,7 @@ def test_link_names(spark):
     groups = ["Heron Fibre Programme Collaboration", "HFPC Collaboration", "Heron Fibre Programme Team"]
     rows = [(", ".join(persons[:5]) + " ,  et al.", 1, "x", "k")] * 3 + [(", ".join(persons), 1, "x", "k"), (", ".join(groups), 1, "x", "k"), (None, 1, "x", "k"), ("", 1, "x", "k"), (" , ,", 1, "x", "k"), ("a" * 50_000, 1, "x", "k"), ("., -, 7", 1, "x", "k")]
     df = spark.createDataFrame(rows, "authors string, times int, name string, key string")
-    linked = link_names(df, given_least=1)
+    linked = link_names(df, sure=0)
     assert linked.select("name").distinct().count() == linked.count()
     of = {r["name"]: r["entity"] for r in linked.collect()}
     assert len({of[n] for n in persons[:4]}) == 1
@@ -76,7 +76,7 @@ def test_misspelt_families_of_many_spellings_are_linked(spark):
     part = ["Lucia Woveskar", "L. Woveskar", "Lucia P. Woveskar", "Kenji Woveskar"]
     names = right + typed + chain + part + ["Lucia Woveskar-Glarbel"]
     df = spark.createDataFrame([(", ".join(names), 1, "x", "k")], "authors string, times int, name string, key string")
-    of = {r["name"]: r["entity"] for r in link_names(df, given_least=1).collect()}
+    of = {r["name"]: r["entity"] for r in link_names(df, sure=0).collect()}
     assert of["Tariq Snunoerranmar"] == of["Tariq Snunörranmar"] == of["Tariq Snunoerrnmar"]
     assert of["S. Snunoerranmar"] == of["Susanna Snunörranmar"] and of["V. Snunoerranmar"] == of["Victoria Snunörranmar"]
     assert of["Oliver Snunoerranmar"] == of["O. Snunoerranmar"]
@@ -138,3 +138,25 @@ def test_empty(spark):
     chosen, report = mix(df.limit(0), targets)
     assert chosen.count() == 0 and report.count() == 1
     assert mix(documents(spark, [("a", 3)]), targets.limit(0))[0].count() == 0
+
+
+def test_a_family_of_very_many_forms():
+    """Time stays near the number of forms, and those of one given name still meet."""
+    import random
+
+    from noctiluca.llm.names import stars
+
+    rng = random.Random(4)
+    given = sorted({"".join(rng.choice("abcdeilmnorst") for _ in range(7)) for _ in range(4000)})
+    forms = [(("p|wang", g, "", False), 5, 1, True) for g in given] + [(("p|wang", g[:4], "", True), 1, 1, True) for g in given[:50]]
+    out = stars(forms)
+    assert all(sim > 0 for _, sim in out)
+    assert all(forms[out[len(given) + i][0]][0][1].startswith(given[i][:4]) for i in range(50))
+
+
+def test_misspelt_family_names_of_any_number_of_spellings(spark):
+    first = ["Tariq", "Maria", "Wei", "Johanna", "Pedro"]
+    rows = [(f"{g} Klokulard",) for g in first for _ in range(5)] + [(f"{g} Klokulrad",) for g in first]
+    of = {r["name"]: r["entity"] for r in link_names(spark.createDataFrame(rows, "authors string"), sure=0).collect()}
+    assert all(of[f"{g} Klokulard"] == of[f"{g} Klokulrad"] for g in first)
+    assert len(set(of.values())) == 5
