@@ -2,7 +2,8 @@
 
 A passage of ``passage`` consecutive words of a test item counts as leaked if it stands in a document with at most
 ``edits`` words inserted, left out or replaced. Items are split into aligned pieces so short that every such passage
-holds edits + 1 whole pieces: one of them must stand in the document unchanged. Piece hits come from rolling hashes;
+holds edits + 1 whole pieces: one of them must stand in the document unchanged. An item shorter than a passage is one
+passage itself, which must stand in the document whole and unchanged. Piece hits come from rolling hashes;
 hits whose surroundings cannot hold the passage are dropped by counting equal words near their diagonal, and the rest
 are verified with Myers' bit-parallel edit distance over words.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from noctiluca.llm.markup import without_elements
 from noctiluca.llm.words import WordIds, rolling, words
-from noctiluca.session import spread
+from noctiluca.session import bounded_batches, cut, spread
 
 
 def myers_within(pattern: list[int], text: list[int], most: int) -> int | None:
@@ -57,16 +58,19 @@ class Pieces:
     size: int
     passage: int
     edits: int
+    #: Most piece hits that are looked at together; a piece that very many items share is taken in parts.
+    hits: int = 1_000_000
 
 
 def split_items(item_ids: list[int], texts: list[str], passage: int, edits: int) -> Pieces:
-    """Pieces of floor((passage + 1) / (edits + 2)) words: any passage then holds edits + 1 whole aligned ones."""
+    """Pieces of floor((passage + 1) / (edits + 2)) words: any passage then holds edits + 1 whole aligned ones. A shorter item
+    has its first piece only; one shorter than a piece has none."""
     size = (passage + 1) // (edits + 2)
     known = WordIds()
     arrays = [known.of(words(without_elements(t))) for t in texts]
     starts = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int64)
     ids = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    at = np.concatenate([np.arange(s, e - size + 1, size) for s, e in zip(starts[:-1], starts[1:], strict=True) if e - s >= passage - edits] or [np.empty(0, np.int64)]).astype(np.int64)
+    at = np.concatenate([np.arange(s, e - size + 1, size) for s, e in zip(starts[:-1], np.where(np.diff(starts) < passage, np.minimum(starts[1:], starts[:-1] + size), starts[1:]), strict=True)] or [np.empty(0, np.int64)]).astype(np.int64)
     h = rolling(ids, size)
     h = h[at] if len(at) else np.empty(0, np.uint64)
     order = np.argsort(h, kind="stable")
@@ -80,13 +84,28 @@ def find_passages(doc_ids: np.ndarray, starts: np.ndarray, p: Pieces) -> list[tu
         return []
     lo, hi = np.searchsorted(p.hashes, h, "left"), np.searchsorted(p.hashes, h, "right")
     where = np.flatnonzero(hi > lo)
+    found: dict[tuple[int, int], list[int]] = {}
+    many = np.cumsum((hi - lo)[where])
+    for part in np.split(where, np.unique(np.searchsorted(many, np.arange(p.hits, many[-1], p.hits)) + 1)) if len(where) else []:
+        _look_at(doc_ids, starts, p, part, lo, hi, found)
+    return [(d, i, r, e) for (d, i), (r, e) in found.items() if e <= p.edits]
+
+
+def _look_at(doc_ids: np.ndarray, starts: np.ndarray, p: Pieces, where: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: dict[tuple[int, int], list[int]]) -> None:
+    """Add to ``found`` what the piece hits at some places of the documents lead to."""
     n = (hi - lo)[where]
     pos = np.repeat(where, n)
     piece = np.repeat(lo[where], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     doc = np.searchsorted(starts, pos, "right") - 1
     inside = pos + p.size <= starts[doc + 1]
     pos, piece, doc = pos[inside], piece[inside], doc[inside]
-    found: dict[tuple[int, int], list[int]] = {}
+    length = np.diff(p.starts)
+    short = length[p.item[piece]] < p.passage
+    for d, q, i in zip(doc[short].tolist(), pos[short].tolist(), p.item[piece[short]].tolist(), strict=True):
+        a, m = int(p.starts[i]), int(length[i])
+        if q + m <= starts[d + 1] and (doc_ids[q : q + m] == p.ids[a : a + m]).all():
+            found[d, i] = [m, 0]
+    pos, piece, doc = pos[~short], piece[~short], doc[~short]
     span = p.passage - p.size  # words of a passage before or after the piece
     off = np.arange(-span, p.size + span)
     for at in range(0, len(pos), 100_000):
@@ -122,34 +141,30 @@ def find_passages(doc_ids: np.ndarray, starts: np.ndarray, p: Pieces) -> list[tu
                 for first in range(max(is_, y - span), min(y, ie - p.passage) + 1):
                     if (distance := myers_within(p.ids[first : first + p.passage].tolist(), region, p.edits)) is not None:
                         best[1] = min(best[1], distance)
-    return [(d, i, r, e) for (d, i), (r, e) in found.items() if e <= p.edits]
 
 
 def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", passage: int = 12, edits: int = 1, slice_chars: int = 20_000_000) -> DataFrame:
     """(doc_id, item_id, longest_run, edits): every document with every item of which it holds a passage.
 
-    The items are the small side: they are taken in slices of at most ``slice_chars`` characters, each broadcast to one
-    pass over the documents, so any number of items works with bounded memory; documents are never shuffled. Null or blank
-    texts and items shorter than a passage match nothing; a repeated row adds nothing; other columns are not read; an
-    empty table on either side gives no rows.
+    longest_run is in words; an item of fewer words than a passage counts where it stands whole, one of fewer words than a
+    piece (four) nowhere. The items are taken in slices of about ``slice_chars`` characters, chosen by a hash of their ids.
+    Only one slice at a time comes to the driver and is broadcast to one pass over the documents, whose result is written
+    before the next slice is fetched; documents are never shuffled. Null or blank texts match nothing; a repeated row adds
+    nothing; other columns are not read; an empty table on either side gives no rows.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     flat = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     flat = spread(flat)
-    slices: list[tuple[list[int], list[str]]] = [([], [])]
-    size = 0
-    for row in items.select(F.col(f"`{item_id_col}`").cast("bigint").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("i is not null and t is not null").distinct().toLocalIterator():
-        if size and size + len(row["t"]) > slice_chars:
-            slices.append(([], []))
-            size = 0
-        slices[-1][0].append(row["i"])
-        slices[-1][1].append(row["t"])
-        size += len(row["t"])
-    passes = []
-    for ids, texts in slices:
-        shared = spark.sparkContext.broadcast(split_items(ids, texts, passage, edits))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    held = items.select(F.col(f"`{item_id_col}`").cast("bigint").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    chars = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    slices = max(1, -(-chars // slice_chars))
+
+    def one_pass(k: int) -> DataFrame:
+        rows = held.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == k).collect()
+        shared = spark.sparkContext.broadcast(split_items([r["i"] for r in rows], [r["t"] for r in rows], passage, edits))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = WordIds()
             for batch in batches:
                 split = [words(without_elements(t)) for t in batch["text"]]
@@ -159,10 +174,16 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                     d, i, r, e = (list(x) for x in zip(*rows, strict=True))
                     yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[d], "item_id": shared.value.item_ids[i], "longest_run": r, "edits": e})
 
-        passes.append(flat.mapInPandas(search, "doc_id bigint, item_id bigint, longest_run int, edits int"))
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
+        found = flat.mapInPandas(search, "doc_id bigint, item_id bigint, longest_run int, edits int")
+        if slices == 1:
+            return found
+        found = cut(found)
+        shared.destroy()
+        return found
+
+    out = one_pass(0)
+    for k in range(1, slices):
+        out = out.unionByName(one_pass(k))
     return out.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.min("edits").alias("edits"))
 
 

@@ -8,14 +8,14 @@ taken until the tokens still wanted are reached.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noctiluca.session import cut, spread
+from noctiluca.session import bounded_batches, cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published pattern that splits text before the merges of this kind of vocabulary.
@@ -23,24 +23,26 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 BINS = 4096
 
 
-@functools.cache
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("mixture", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(documents: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str = TOKENIZER, weight_col: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens, weight); null and blank texts have 0 tokens. Special tokens' strings are ordinary text."""
+    """(doc_id, source, tokens, weight); null and blank texts have 0 tokens. Special tokens' strings are ordinary text. The
+    vocabulary file is read by the driver and broadcast (a megabyte or so), so executors need not have it."""
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    vocabulary = spark.sparkContext.broadcast(Path(tokenizer).read_bytes())
     weight = F.coalesce(F.col(f"`{weight_col}`").cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
     flat = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"), weight.alias("weight"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(vocabulary.value)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t and not t.isspace() else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": sizes, "weight": batch["weight"]})

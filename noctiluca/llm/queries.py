@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noctiluca.llm.answers import defective, flag_pairs
 from noctiluca.llm.leakage import leaked, leaked_unchanged
@@ -93,6 +94,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[1]
 
 
+def p8_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture in which a document's chance of the further copy grows with its length, so that headers and stubs are rarer
+    than in ``p8_mixture``: inclusion probabilities differ from document to document."""
+    documents = _read(spark, folder, "documents").withColumn("weight", F.sqrt(F.length("text").cast("double")))
+    return mix(documents, _read(spark, folder, "mix_targets"), weight_col="weight")[0]
+
+
+def p8_weighted_shares(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents").withColumn("weight", F.sqrt(F.length("text").cast("double")))
+    return mix(documents, _read(spark, folder, "mix_targets"), weight_col="weight")[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetitive(repetition(_read(spark, folder, "documents")))
 
@@ -101,5 +114,5 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(_read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_text, p2_structure, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_text, p2_structure, p3_found, p3_all_defects, p4_found, p4_records, p4_report, p5_found, p5_groups, p6_found, p6_entities, p7_found, p7_leaks, p8_mixture, p8_shares, p8_weighted, p8_weighted_shares, p9_found, p9_shares)}
 ORACLES: dict[str, str] = {}

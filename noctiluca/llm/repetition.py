@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noctiluca.llm.markup import without_elements
 from noctiluca.llm.words import WordIds, mixed, rolling, words
-from noctiluca.session import spread
+from noctiluca.session import bounded_batches, spread
 
 LENGTHS = (3, 5, 10)
 
@@ -57,6 +57,8 @@ def repetition(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flat = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "doc_id bigint, words bigint, " + ", ".join(f"repeated_words_{n} bigint, repeated_chars_{n} double" for n in lengths) + ", repeated_lines double, repeated_paragraphs double, repeated_sentences double"
 
+    bounded_batches(documents.sparkSession)
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordIds()
         for batch in batches:

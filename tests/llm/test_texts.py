@@ -87,6 +87,8 @@ def test_leakage_against_brute_force(spark):
         w = words((text or "").replace("<b>", "").replace("</b>", ""))
         for i, t in items:
             p = words(t)
+            if len(p) < 12 and any(w[a : a + len(p)] == p for a in range(len(w) - len(p) + 1)):
+                near.add((d, i))
             for s in range(len(p) - 11):
                 q = p[s : s + 12]
                 if any(w[a : a + 12] == q for a in range(len(w) - 11)):
@@ -98,3 +100,24 @@ def test_leakage_against_brute_force(spark):
         assert {(r["doc_id"], r["item_id"]) for r in leaked_unchanged(out).collect()} == {x for x in exact if x[0] is not None}
         assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {x for x in near if x[0] is not None}
     assert leaked(df.limit(0), it).count() == 0 and leaked(df, it.limit(0)).count() == 0
+
+
+def test_short_items_must_stand_whole(spark):
+    docs = spark.createDataFrame([(1, "see the red giant branch of this cluster"), (2, "the red giant is here"), (3, "red giant branch")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "The red giant branch"), (2, "red giant branch"), (3, "the red giant branch of that cluster")], "item_id bigint, text string")
+    out = leaked(docs, items)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 4, 0)}
+    assert leaked_unchanged(out).count() == 0
+
+
+def test_a_piece_that_many_items_share():
+    from noctiluca.llm.leakage import find_passages, split_items
+
+    common = "a b c d e f g h i j k l".split()
+    p = split_items(list(range(300)), [" ".join([*common, f"x{i}"]) for i in range(300)], 12, 1)
+    docs = [WordIds().of(common * 3), WordIds().of([*common, "x7"])]
+    starts = np.r_[0, np.cumsum([len(d) for d in docs])]
+    whole = sorted(find_passages(np.concatenate(docs), starts, p))
+    object.__setattr__(p, "hits", 50)
+    assert sorted(find_passages(np.concatenate(docs), starts, p)) == whole
+    assert {(d, i) for d, i, *_ in whole} == {(d, i) for d in (0, 1) for i in range(300)}
