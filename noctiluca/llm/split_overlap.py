@@ -1,9 +1,9 @@
 """Records of evaluation splits that stand, the same or nearly so, in the training split.
 
 The word n-grams of the evaluation records are hashed and partitioned, the training records are scanned for hits, and
-every pair with a hit gets its exact containment and likeness from both sets. Of an evaluation record only the rarest
-n-grams are looked for, just so many that a training record that holds the wanted share of the record must hold one of
-them (prefix filter); rarity comes from a count of all n-grams of all records in a table of fixed size. A bit map of the
+every pair with enough hits gets its exact containment and likeness from both sets. Of an evaluation record only the rarest
+n-grams are looked for, just so many that a training record that holds the wanted share of the record must hold several
+of them (prefix filter), and a pair with fewer hits is dropped; rarity comes from a count of all n-grams of all records in a table of fixed size. A bit map of the
 n-grams looked for, of bounded size, lets the scan drop the training n-grams that can't hit before anything is shuffled.
 """
 
@@ -24,6 +24,8 @@ COUNT_BITS = 20
 TRAIN, EVALUATION = 1, 2
 #: Most bits of a bit map (32 MB); beyond that it lets more through, but loses nothing.
 MAP_BITS, MAP_CHUNK = 28, 1 << 16
+#: A pair needs a hit for every so many n-grams of the evaluation record, which is looked for with as many more of them.
+PER_HIT = 25
 
 
 def normal_split(column: str) -> Column:
@@ -83,12 +85,13 @@ def in_map(held: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def rarest(tokens: np.ndarray, starts: np.ndarray, times: np.ndarray, share: float) -> np.ndarray:
-    """Mask of the n - ceil(share n) + 1 members of each set that occur least: whoever holds that share of the set holds one
-    of them."""
+    """Mask of the n - ceil(share n) + h members of each set that occur least, with h = ceil(n / PER_HIT): whoever holds that
+    share of the set misses at most n - ceil(share n) members, and so holds h of them."""
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((tokens, times, owner))
-    keep = sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1
+    needed = np.ceil(share * sizes - 1e-9).astype(np.int64)
+    keep = sizes - needed + np.minimum(needed, -(-sizes // PER_HIT))
     out = np.zeros(len(tokens), bool)
     out[order] = np.arange(len(tokens)) - np.repeat(starts[:-1], sizes) < np.repeat(keep, sizes)
     return out
@@ -149,7 +152,9 @@ def split_overlap(records: DataFrame, splits: DataFrame, id_col: str = "paper_id
     wanted = cut(_posted(parsed.where("side = 1"), looked_for, "e"))
     grams = context.broadcast(bit_map(wanted, "gram"))
     hits = _posted(parsed.where("side = 0"), lambda tokens, starts: in_map(grams.value, tokens), "t")
-    pairs = cut(wanted.join(hits, "gram").where((F.col("e") != F.col("t")) & (F.col("t_size") >= F.ceil(containment * F.col("e_size") - 1e-9))).select("e", "t").distinct())
+    held_at_least = F.ceil(containment * F.col("e_size") - 1e-9)
+    met = wanted.join(hits, "gram").where((F.col("e") != F.col("t")) & (F.col("t_size") >= held_at_least)).groupBy("e", "t", "e_size").agg(F.count("*").alias("hits"))
+    pairs = cut(met.where(F.col("hits") >= F.least(held_at_least, F.ceil(F.col("e_size") / PER_HIT))).select("e", "t"))
     keys = context.broadcast(bit_map(pairs.select(F.explode(F.array("e", "t")).alias("key")), "key"))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
