@@ -36,6 +36,22 @@ def class_report(df: DataFrame, truth: str = "truth", predicted: str = "predicte
     return by.union(macro).union(weighted).select("label", *[F.round(c, 6).alias(c) for c in parts], "support")
 
 
+def evaluation_bundle(df: DataFrame, classifier: str, text_column: str, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+    """One row with everything that is kept of an evaluation: classifier, model_text_column, records, accuracy, macro_f1,
+    weighted_f1, the report by label and the confusion matrix (rows by truth, columns by prediction, labels in order)."""
+    pairs = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    report = class_report(df, truth, predicted)
+    of = lambda name: F.max(F.when(F.col("label") == name, F.col("f1")))
+    by = F.array_sort(F.collect_list(F.when(~F.col("label").isin("macro avg", "weighted avg"), F.struct("label", "precision", "recall", "f1", "support"))))
+    scores = report.agg(of("macro avg").alias("macro_f1"), of("weighted avg").alias("weighted_f1"), by.alias("report"))
+    rows = confusion_counts(df, truth, predicted).groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("predicted", "n"))), lambda x: x["n"]).alias("row"))
+    matrix = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("truth", "row"))), lambda x: x["row"]).alias("confusion"))
+    hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0))
+    total = pairs.agg(F.sum("n").alias("records"), F.round(hit / F.sum("n"), 6).alias("accuracy"))
+    one = total.crossJoin(scores).crossJoin(matrix)  # a row each
+    return one.select(F.lit(classifier).alias("classifier"), F.lit(text_column).alias("model_text_column"), "records", "accuracy", "macro_f1", "weighted_f1", "report", "confusion")
+
+
 def precision_at_k(found: DataFrame, labels: DataFrame, queries: DataFrame) -> DataFrame:
     """(src_id, hits, retrieved, precision): share of a query's neighbours that have its label; 0 without neighbours.
 

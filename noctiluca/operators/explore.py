@@ -84,3 +84,14 @@ def colours(df: DataFrame, label: str = "category") -> DataFrame:
 
 def dates_shown(df: DataFrame) -> DataFrame:
     return df.withColumn("date_shown", text.display_date(F.col("published")))
+
+
+def previews(points: DataFrame, count: int = 6) -> DataFrame:
+    """(id, preview): the first recommended ids of each point that has recommendations."""
+    return points.where("recommendations is not null").select("id", F.transform(F.slice("recommendations", 1, count), lambda r: r["id"]).alias("preview"))
+
+
+def recommendation_links(points: DataFrame, papers: DataFrame) -> DataFrame:
+    """(id, rec_id, known, title): every recommendation of every point with the title of the record it leads to."""
+    recs = points.select("id", F.explode("recommendations").alias("r")).select("id", F.col("r.id").alias("rec_id"))
+    return recs.join(papers.select("paper_id", "title"), F.col("rec_id") == F.col("paper_id"), "left").select("id", "rec_id", F.col("paper_id").isNotNull().alias("known"), "title")

@@ -64,9 +64,9 @@ def dense_ids(df: DataFrame, order: Column | str, name: str = "paper_id") -> Dat
     offset, total = {}, 0
     for p in sorted(sizes):
         offset[p], total = total, total + sizes[p]
-    starts = F.create_map(*[F.lit(x) for kv in (offset or {0: 0}).items() for x in kv])
+    starts = F.broadcast(df.sparkSession.createDataFrame(list((offset or {0: 0}).items()), "_part int, _before bigint"))  # a row per range
     by = Window.partitionBy("_part").orderBy("_order")
-    return ranged.withColumn(name, (F.row_number().over(by) + F.element_at(starts, F.col("_part"))).cast("bigint")).drop("_order", "_part")
+    return ranged.join(starts, "_part").withColumn(name, (F.row_number().over(by) + F.col("_before")).cast("bigint")).drop("_order", "_part", "_before")
 
 
 def finalize(df: DataFrame, limit: int | None = None, order: str = "paper_id", by_url_only: bool = False, prefix: str = schema.PREFIX) -> DataFrame:
@@ -79,6 +79,14 @@ def finalize(df: DataFrame, limit: int | None = None, order: str = "paper_id", b
     return dense_ids(df.drop("paper_id"), "_arrival").drop("_arrival")
 
 
+def union_of(feeds: list[DataFrame]) -> DataFrame:
+    """All records of several feeds, by column name; a column that a feed lacks is null there. Repetitions stay."""
+    out = feeds[0]
+    for feed in feeds[1:]:
+        out = out.unionByName(feed, allowMissingColumns=True)
+    return out
+
+
 def fetch_counters(df: DataFrame, order: str = "paper_id", prefix: str = schema.PREFIX) -> DataFrame:
     """(raw, kept, other_category, duplicates) of a stream of fetched records, in one row."""
     inside = F.coalesce(F.col("category").startswith(prefix), F.lit(False))

@@ -46,6 +46,16 @@ def class_report(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.class_report(pairs(spark, folder))
 
 
+@query(f"""WITH {CLEAN}, {PAIRS}, l AS (SELECT truth AS label FROM pairs UNION SELECT predicted FROM pairs),
+c AS (SELECT label, (SELECT count(*) FROM pairs WHERE truth = label) AS support, (SELECT count(*) FROM pairs WHERE predicted = label) AS called, (SELECT count(*) FROM pairs WHERE truth = label AND predicted = label) AS tp FROM l),
+r AS (SELECT label, CASE WHEN called > 0 THEN tp / called ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r, 2 * tp / (called + support) AS f1, support FROM c),
+m AS (SELECT a.label AS t, list(n ORDER BY b.label) AS row FROM l a CROSS JOIN l b LEFT JOIN LATERAL (SELECT count(*) AS n FROM pairs p WHERE p.truth = a.label AND p.predicted = b.label) ON true GROUP BY 1)
+SELECT 'majority' AS classifier, 'combined_text' AS model_text_column, (SELECT count(*) FROM pairs) AS records, (SELECT round(count(*) FILTER (truth = predicted) / count(*), 6) FROM pairs) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, count(*) AS labels, sum(support)::BIGINT AS support, (SELECT list(row ORDER BY t) FROM m) AS confusion FROM r""")
+def evaluation_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    one = evaluate.evaluation_bundle(pairs(spark, folder), "majority", "combined_text")
+    return one.select("classifier", "model_text_column", "records", "accuracy", "macro_f1", "weighted_f1", F.size("report").cast("bigint").alias("labels"), F.aggregate("report", F.lit(0).cast("bigint"), lambda s, x: s + x["support"]).alias("support"), "confusion")
+
+
 @query(f"WITH {CLEAN} SELECT category AS label, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT category FROM clean)")
 def label_codes(spark: SparkSession, folder: str) -> DataFrame:
     return classify.encode_labels(clean(spark, folder))
@@ -73,9 +83,18 @@ def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     return classify.tfidf(clean(spark, folder), "paper_id", "combined_text")
 
 
+@query(f"""WITH {CLEAN}, {TOKENS}, v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS number FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM tok) GROUP BY 1 ORDER BY n DESC, word LIMIT 8000)),
+p AS (SELECT paper_id, i AS pos, w[i] AS word FROM (SELECT paper_id, w, unnest(range(1, least(len(w), 64) + 1)) AS i FROM tok)),
+s AS (SELECT paper_id, list(coalesce(number, 1) ORDER BY pos) AS ids FROM p LEFT JOIN v USING (word) GROUP BY 1)
+SELECT tok.paper_id AS id, list_transform(range(1, 65), lambda i: CAST(coalesce(ids[i], 0) AS INTEGER)) AS input_ids, list_transform(range(1, 65), lambda i: CASE WHEN i <= len(w) THEN 1 ELSE 0 END) AS attention_mask FROM tok LEFT JOIN s USING (paper_id)""")
+def padded_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return classify.token_sequences(clean(spark, folder), "paper_id", "combined_text", 64)
+
+
 def _tested(spark: SparkSession, folder: str, version: str) -> DataFrame:
     split = stratified_split(clean(spark, folder).select("paper_id", "category", "combined_text")).persist()
     model = classify.train_classifier(split.where("not is_test"), version)
+    split.unpersist()
     return classify.predict(model, split.where("is_test")).select("paper_id", F.col("category").alias("truth"), "predicted")
 
 

@@ -9,8 +9,9 @@ from noctiluca import schema
 from noctiluca.functions import text
 from noctiluca.functions.text import NA_TOKENS, WS
 from noctiluca.operators import explore, stats
-from noctiluca.operators.records import clean_papers, fetch_counters, finalize, keep_first, with_prefix, year_between
+from noctiluca.operators.records import clean_papers, fetch_counters, finalize, keep_first, union_of, with_prefix, year_between
 from noctiluca.plans.registry import query, read
+from noctiluca.sources.paper_api import windows
 
 NA_LIST = ", ".join(f"'{t}'" for t in NA_TOKENS)
 OUTER = f"^{WS}+|{WS}+$"
@@ -60,7 +61,7 @@ def year_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1")
 def order_years(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "orders").select(F.year("o_orderdate").alias("year")).groupBy("year").agg(F.count("*").alias("n"))
+    return stats.year_distribution(read(spark, folder, "orders").select(F.col("o_orderdate").cast("string").alias("published")))
 
 
 @query(f"SELECT paper_id, {YEAR} AS year FROM (SELECT paper_id, regexp_replace(published, '{OUTER}', '', 'g') AS p FROM papers) WHERE {YEAR} BETWEEN 2018 AND 2021")
@@ -70,7 +71,7 @@ def papers_of_years(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT CAST(y AS INTEGER) AS window_year, CAST(2024 - y AS INTEGER) AS place FROM range(2015, 2025) t(y)")
 def year_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(F.sequence(F.lit(2024), F.lit(2015), F.lit(-1))).alias("place", "window_year")).select("window_year", "place")
+    return spark.createDataFrame([(y, i) for i, y in enumerate(windows(2024, 2015))], "window_year int, place int")
 
 
 @query("SELECT paper_id, coalesce(nullif(primary_category, ''), list_filter(c, lambda x: starts_with(x, 'astro-ph.'))[1], c[1], 'unknown') AS category FROM (SELECT paper_id, primary_category, list_filter([category, primary_category], lambda x: x IS NOT NULL) AS c FROM papers)")
@@ -224,18 +225,16 @@ def nearest_points(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT id, list_transform(list_slice(recommendations, 1, 6), lambda r: r.id) AS preview FROM atlas_points WHERE recommendations IS NOT NULL")
 def neighbour_previews(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "atlas_points").where("recommendations is not null").select("id", F.transform(F.slice("recommendations", 1, 6), lambda r: r["id"]).alias("preview"))
+    return explore.previews(read(spark, folder, "atlas_points"))
 
 
 @query("SELECT a.id, r.id AS rec_id, p.paper_id IS NOT NULL AS known, p.title FROM (SELECT id, unnest(recommendations) AS r FROM atlas_points) a LEFT JOIN papers p ON p.paper_id = a.r.id")
 def recommendation_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    recs = read(spark, folder, "atlas_points").select("id", F.explode("recommendations").alias("r")).select("id", F.col("r.id").alias("rec_id"))
-    known = papers(spark, folder).select("paper_id", "title")
-    return recs.join(known, F.col("rec_id") == F.col("paper_id"), "left").select("id", "rec_id", F.col("paper_id").isNotNull().alias("known"), "title")
+    return explore.recommendation_links(read(spark, folder, "atlas_points"), papers(spark, folder))
 
 
 @query("SELECT paper_id, category, lower(trim(split)) AS split FROM papers JOIN (SELECT DISTINCT paper_id, split FROM paper_splits WHERE source = 'year_window' UNION ALL SELECT DISTINCT paper_id, split FROM paper_splits WHERE source = 'manual_import') USING (paper_id)")
 def union_of_feeds(spark: SparkSession, folder: str) -> DataFrame:
     splits = read(spark, folder, "paper_splits")
     feeds = [splits.where(F.col("source") == s).select("paper_id", "split").distinct() for s in ("year_window", "manual_import")]
-    return papers(spark, folder).select("paper_id", "category").join(feeds[0].unionByName(feeds[1]), "paper_id").select("paper_id", "category", F.lower(F.trim("split")).alias("split"))
+    return papers(spark, folder).select("paper_id", "category").join(union_of(feeds), "paper_id").select("paper_id", "category", F.lower(F.trim("split")).alias("split"))

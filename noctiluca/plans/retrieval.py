@@ -77,7 +77,14 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.fixed_chunks(read(spark, folder, "documents"), "doc_id", "text", 60, 15)
 
 
-@query()
+@query(f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, unnest(range(1, len(b) + 1)) AS line, unnest(b) AS body FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS b FROM documents)),
+t AS (SELECT *, nullif(regexp_replace(coalesce(nullif(regexp_extract(body, '^#{{1,6}}\\s+(.+)$', 1), ''), regexp_extract(body, '^\\d+(?:\\.\\d+)*\\.?\\s+([A-Z].*)$', 1)), '{OUTER}', '', 'g'), '') AS title FROM l),
+m AS (SELECT paper_id, line, body, title, count(title) OVER (PARTITION BY paper_id ORDER BY line) AS section, last_value(title IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY line) AS section_title FROM t),
+j AS (SELECT paper_id, section, section_title, string_agg(body, ' ' ORDER BY line) AS body FROM m WHERE title IS NULL GROUP BY 1, 2, 3),
+w AS (SELECT paper_id, section, section_title, list_filter(string_split(trim(regexp_replace(body, '{WS}+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM j),
+c AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((len(w) - 60) / 45)) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY section, k) - 1 AS INTEGER) AS i FROM c)
+SELECT paper_id, format('{{}}_chunk_{{:03d}}', paper_id, i) AS chunk_id, i AS chunk_index, section_title, array_to_string(list_slice(w, k * 45 + 1, k * 45 + 60), ' ') AS chunk_text, CAST(len(list_slice(w, k * 45 + 1, k * 45 + 60)) AS INTEGER) AS word_count FROM n""")
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.section_chunks(read(spark, folder, "documents"), "doc_id", "text", 60, 15)
 

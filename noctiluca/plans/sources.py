@@ -7,11 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noctiluca import schema
+from noctiluca.functions.text import WS
 from noctiluca.plans.records import CLEAN, KEY, clean
 from noctiluca.plans.registry import query, read
+from noctiluca.rag.benchmark import read_questions, write_questions
 from noctiluca.session import shared_folder
 from noctiluca.sources.csv import read_papers, write_papers
+from noctiluca.sources.feed import feed_papers, read_feed, write_feed
 from noctiluca.sources.synthetic import sample_papers
 from noctiluca.streaming.dedup import keyed_stream, run_available
 
@@ -26,8 +28,17 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT id, question, reference_answer, gold_chunks, requires_multi_hop FROM questions")
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     at = shared_folder(spark, "json")
-    read(spark, folder, "questions").write.json(at, ignoreNullFields=True)
-    return spark.read.schema(schema.QUESTION).json(at).select("id", "question", "reference_answer", "gold_chunks", "requires_multi_hop")
+    write_questions(read(spark, folder, "questions"), at)
+    return read_questions(spark, at).select("id", "question", "reference_answer", "gold_chunks", "requires_multi_hop")
+
+
+@query(f"""WITH c AS (SELECT {", ".join(f"coalesce({x}, '') AS {x}" for x in ("title", "abstract", "category", "primary_category", "authors", "published", "updated", "url"))} FROM papers)
+SELECT trim(regexp_replace(title, '{WS}+', ' ', 'g')) AS title, trim(regexp_replace(abstract, '{WS}+', ' ', 'g')) AS abstract, coalesce(nullif(primary_category, ''), nullif(category, ''), '') AS category,
+array_to_string(list_filter(list_transform(string_split(authors, ','), lambda x: trim(regexp_replace(x, '{WS}+', ' ', 'g'))), lambda x: x <> ''), ', ') AS authors, published, updated, url, substr(published, 1, 4) AS year FROM c""")
+def feed_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    at = shared_folder(spark, "feed")
+    write_feed(read(spark, folder, "papers"), at)
+    return feed_papers(read_feed(spark, at)).drop("primary_category")
 
 
 @query()

@@ -10,7 +10,7 @@ from noctiluca.functions import vectors as v
 from noctiluca.operators import evaluate, knn
 from noctiluca.operators.atlas import atlas_points
 from noctiluca.operators.classify import majority_label
-from noctiluca.operators.project import pca_map, umap_map
+from noctiluca.operators.project import covariances, neighbour_graph, pca_map, umap_map
 from noctiluca.plans.records import CLEAN, COLOUR, clean
 from noctiluca.plans.registry import query, read
 
@@ -95,6 +95,21 @@ def atlas(spark: SparkSession, folder: str) -> DataFrame:
     return points.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "category", "color", F.size("recommendations").cast("bigint").alias("n_recommendations"))
 
 
+@query("""WITH u AS (SELECT DISTINCT paper_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM paper_vectors WHERE len(embedding) = 128 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+x AS (SELECT id, unnest(range(0, 128)) AS i, unnest(e) AS v FROM u), m AS (SELECT i, avg(v) AS m FROM x GROUP BY 1), c AS (SELECT id, i, v - m AS d FROM x JOIN m USING (i))
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.d * b.d), 6) AS covariance FROM c a JOIN c b ON a.id = b.id AND a.i <= b.i GROUP BY 1, 2""")
+def vector_covariances(spark: SparkSession, folder: str) -> DataFrame:
+    return covariances(corpus(spark, folder).dropDuplicates(["id"]), 128).select("i", "j", F.round("covariance", 6).alias("covariance"))
+
+
+@query()
+def all_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    """The eight nearest of every paper at any similarity, for the site; approximate in which are found."""
+    rows = corpus(spark, folder).select("id", F.col("vec").cast("array<float>").alias("vec")).dropDuplicates(["id"])
+    found = neighbour_graph(rows, rows.count(), 128, R)
+    return found.select(F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), "rank", v.match_percent(F.col("sim").cast("double")).alias("match_pct"))
+
+
 @query()
 def map_by_components(spark: SparkSession, folder: str) -> DataFrame:
     return pca_map(corpus(spark, folder).dropDuplicates(["id"]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,16 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.QUESTION).json(path, multiLine=True)
 
 
+def write_questions(questions: DataFrame, path: str) -> None:
+    """Questions as files that ``read_questions`` takes, an array of objects in each, one file a partition."""
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [j for b in batches for j in b["j"]]
+        yield pd.DataFrame({"value": ["[" + ",\n".join(held) + "]"]})
+
+    questions.select(F.to_json(F.struct(*questions.columns)).alias("j")).mapInPandas(arrays, "value string").write.mode("overwrite").text(path)
+
+
 def violations(questions: DataFrame) -> DataFrame:
     """(id, field, problem): a row for every required field that is missing and every value outside its enumeration. Gold
     lists may be empty but not null."""

@@ -14,12 +14,14 @@ import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from noctiluca import schema
 from noctiluca.operators.records import finalize
+from noctiluca.session import cut
 
 ROW = "window int, start int, pos int, title string, abstract string, category string, primary_category string, authors string, published string, updated string, url string, year string, error string"
 SPACES = {"a": "http://www.w3.org/2005/Atom", "x": "http://arxiv.org/schemas/atom"}
@@ -166,43 +168,49 @@ class PaperApiReader(DataSourceReader):
 
 
 class PaperApiStream(DataSourceStreamReader):
-    """Every trigger takes one page: offsets are (window, start). What a trigger found is not known to the driver, so it
-    asks for one record beyond the page to see whether the window goes on."""
+    """Every trigger takes what has come since the last one: an offset holds, per window, up to which record it was read.
+    Offsets depend on the API alone and not on what this object remembers, so after a restart they go on where the
+    checkpoint stands. A window that can't be asked stays where it is and is asked again at the next trigger."""
 
     def __init__(self, options: dict):
         self.options = dict(options)
         self.years = windows(_number(options, "from_year", None), _number(options, "to_year", None))
         self.page = _number(options, "page", 100)
+        self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
-        return {"window": 0, "start": 0}
+        return {str(y): 0 for y in self.years}
+
+    def _end(self, year: int | None) -> int:
+        """The start of the first page that is empty, by halving."""
+        most = -(-_number(self.options, "max_results", 500) // self.page)
+        low, high = self.known.get(str(year), 0) // self.page, most
+        while low < high:
+            mid = (low + high) // 2
+            if fetch_page(_transport(self.options), _query(self.options, year), mid * self.page, 1, sleep=lambda s: time.sleep(min(s, float(self.options.get("longest_wait", s))))):
+                low = mid + 1
+            else:
+                high = mid
+        return low * self.page
 
     def latestOffset(self) -> dict:
-        at = getattr(self, "at", None) or self.initialOffset()
-        w, start = at["window"], at["start"]
-        while w < len(self.years):
-            there = fetch_page(_transport(self.options), _query(self.options, self.years[w]), start, 1)
-            if there and start < _number(self.options, "max_results", 500):
-                self.at = {"window": w, "start": start + self.page}
-                return self.at
-            w, start = w + 1, 0
-        self.at = {"window": w, "start": 0}
-        return self.at
+        for year in self.years:
+            try:
+                self.known[str(year)] = self._end(year)
+            except FetchError:
+                self.known.setdefault(str(year), 0)
+        return dict(self.known)
 
     def partitions(self, start: dict, end: dict) -> list[Window]:
-        parts = []
-        for w in range(start["window"], min(end["window"], len(self.years) - 1) + 1):
-            lo = start["start"] if w == start["window"] else 0
-            hi = end["start"] if w == end["window"] else lo
-            if hi > lo:
-                parts.append(Window(self.years[w], lo, hi - lo))
-        return parts
+        spans = [(y, start.get(str(y), 0), end.get(str(y), 0)) for y in self.years]
+        return [Window(y, at, min(self.page, hi - at)) for y, lo, hi in spans for at in range(lo, hi, self.page)]
 
     def read(self, partition: Window) -> Iterator[tuple]:
         yield from read_window(_transport(self.options), _query(self.options, partition.year), partition.year, partition.count, self.page, partition.start, pause=0)
 
     def commit(self, end: dict) -> None:
-        pass
+        for year, at in end.items():  # what was committed before a restart is known again
+            self.known[year] = max(self.known.get(year, 0), at)
 
 
 class PaperApi(DataSource):
@@ -227,7 +235,7 @@ def fetch(spark: SparkSession, cache: str | None = None, limit: int = 500, **opt
     from noctiluca.sources.csv import read_papers
 
     spark.dataSource.register(PaperApi)
-    rows = spark.read.format("paper_api").options(**{k: str(v) for k, v in ({"max_results": limit} | options).items() if v is not None}).load().persist()
+    rows = cut(spark.read.format("paper_api").options(**{k: str(v) for k, v in ({"max_results": limit} | options).items() if v is not None}).load())
     errors = rows.where("error is not null").select("window", "start", "error")
     good = rows.where("error is null")
     if good.limit(1).count():
@@ -236,8 +244,8 @@ def fetch(spark: SparkSession, cache: str | None = None, limit: int = 500, **opt
     if cache:
         try:
             return finalize(read_papers(spark, cache), limit, "paper_id"), errors
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     first = errors.first()
     raise FetchError(f"no records{': ' + first['error'] if first else ''}, and no cached ones")

@@ -48,6 +48,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["map_by_components", "map_by_neighbours", "hashed_embeddings", "section_chunks", "sample_collection", "sample_collection_perfect"])
+@pytest.mark.parametrize("name", ["map_by_components", "map_by_neighbours", "hashed_embeddings", "all_recommendations", "sample_collection", "sample_collection_perfect"])
 def test_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0

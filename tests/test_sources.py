@@ -199,3 +199,29 @@ def test_bm25_by_hand(spark):
 def test_balanced_topics(spark):
     df = spark.createDataFrame([("t", i) for i in range(5)] + [("u", 1), (None, 9), ("t", 0)], "topic_cluster string, paper_id bigint")
     assert {(r["topic"], r["paper_id"]) for r in chunks.topic_balanced(df, 2).select("topic", F.col("paper_id")).collect()} == {("t", 0), ("t", 1), ("u", 1)}
+
+
+def test_offsets_after_a_restart():
+    """A new reader goes on from the checkpoint's offset: nothing comes again, and a window that fails keeps its place."""
+    options = {"transport": "tests.test_sources:stub", "from_year": "2020", "to_year": "2022", "page": "2", "longest_wait": "0"}
+    first = paper_api.PaperApiStream(options)
+    end = first.latestOffset()
+    assert end == {"2022": 2, "2021": 4, "2020": 0}
+    assert [(p.year, p.start, p.count) for p in first.partitions(first.initialOffset(), end)] == [(2022, 0, 2), (2021, 0, 2), (2021, 2, 2)]
+    again = paper_api.PaperApiStream(options)
+    assert again.latestOffset() == end and again.partitions(end, again.latestOffset()) == []
+    assert sum(1 for p in again.partitions({"2022": 2, "2021": 2}, end) for _ in again.read(p)) == 1
+
+
+def test_stream_restart(spark, tmp_path):
+    spark.dataSource.register(paper_api.PaperApi)
+
+    def run():
+        stream = spark.readStream.format("paper_api").options(transport="tests.test_sources:stub", from_year="2021", to_year="2022", page="2").load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+        query.processAllAvailable()
+        query.stop()
+        return spark.read.parquet(str(tmp_path / "o")).where("error is null").count()
+
+    assert run() == 5
+    assert run() == 5
