@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from noctiluca.functions import text
 from noctiluca.operators.knn import nearest
-from noctiluca.session import cut, spread
+from noctiluca.session import cut
 
 
-#: Most query terms that are broadcast to the postings.
+#: Most terms of queries that are broadcast to the postings.
 BROADCAST_TERMS = 200_000
 
 
@@ -35,22 +35,23 @@ def bm25(queries: DataFrame, items: DataFrame, k: int = 10, k1: float = 1.2, b:
     go to the lower item_id. Of repeated items the least text counts. Terms are counted within each row, and only postings
     of terms that occur in a query are shuffled; texts are not."""
     words = text.tokens(F.coalesce("text", F.lit("")))
-    rows = spread(items.where("item_id is not null").select("item_id", "text")).select("item_id", F.xxhash64("text").alias("hash"), words.alias("w"))
+    rows = items.where("item_id is not null").select("item_id", "text").select("item_id", F.xxhash64("text").alias("hash"), words.alias("w"))
     held = rows.groupBy("item_id", "hash").agg(F.max(F.size("w")).alias("len"), F.count("*").alias("copies"))
     chosen = cut(held.join(chosen_texts(items), ["item_id", "hash"], "left_semi"))
     size = chosen.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(text.tokens(F.coalesce("text", F.lit(""))))).alias("term")).distinct()
-    terms = asked.select("term").distinct()
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:  # else terms and postings meet in a shuffle
-        terms = F.broadcast(terms)
-    hits = rows.select("item_id", "hash", F.explode("w").alias("term")).join(terms, "term", "left_semi")
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # else terms and postings meet in a shuffle
+    small = F.broadcast if few else (lambda df: df)
+    hits = rows.select("item_id", "hash", F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
     # a repeated row counts as often as it stands there: the number of copies divides its terms out again
     counts = hits.groupBy("item_id", "hash", "term").agg(F.count("*").alias("times"))
-    postings = cut(counts.join(chosen, ["item_id", "hash"]).select("item_id", "len", "term", (F.col("times") / F.col("copies")).cast("bigint").alias("tf")))
+    postings = counts.join(chosen, ["item_id", "hash"]).select("item_id", "len", "term", (F.col("times") / F.col("copies")).cast("bigint").alias("tf"))
+    # placed by item, so that an item's scores are summed where its postings are
+    postings = postings.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = postings.join(df, "term").crossJoin(F.broadcast(size))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = asked.join(weighed.select("term", "item_id", part.alias("part")), "term").groupBy("query_id", "item_id").agg(F.round(F.sum("part"), decimals).alias("score"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scored = postings.join(small(weights), "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), decimals).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
