@@ -13,8 +13,8 @@ from noctiluca.functions import text
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed files through the XML reader, entry by entry, so that files are split over tasks."""
-    return spark.read.format("xml").option("rowTag", "entry").schema(schema.FEED_ENTRY).load(path)
+    """Feed files through the XML reader, entry by entry, so that files are split over tasks; values come as they stand."""
+    return spark.read.format("xml").options(rowTag="entry", ignoreSurroundingSpaces=False).schema(schema.FEED_ENTRY).load(path)
 
 
 def feed_papers(entries: DataFrame) -> DataFrame:
