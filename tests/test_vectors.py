@@ -150,3 +150,34 @@ def test_embedder(spark):
     df = spark.createDataFrame([(1, "stars and dust"), (2, "stars and dust"), (3, "")], "paper_id bigint, combined_text string")
     rows = {r["id"]: r["vec"] for r in classify.hashing_embedder(df, dim=16).collect()}
     assert rows[1] == rows[2] and 3 not in rows and abs(sum(x * x for x in rows[1]) - 1) < 1e-9
+
+
+def test_text_search_with_an_embedder(spark):
+    """Any function from texts to vectors can stand behind a search from a text to results."""
+    words = ["dust", "halo", "jet"]
+    embed = classify.encode_with(lambda texts: np.array([[t.count(w) for w in words] for t in texts], float), 3)
+    rows = [(1, "dust and dust"), (2, "a halo of dust"), (3, "jet jet"), (4, None)]
+    papers = spark.createDataFrame([(i, f"t{i}", t or "", "c", t or "", "", "", "") for i, t in rows], "paper_id bigint, title string, abstract string, category string, combined_text string, authors string, published string, url string")
+    corpus = embed(papers).where("vec[0] + vec[1] + vec[2] > 0")
+    assert [r["id"] for r in knn.text_search("where is the dust", embed, corpus, papers, 2).collect()] == [1, 2]
+    assert [r["id"] for r in knn.text_search("jet", embed, corpus, papers, 1).collect()] == [3]
+
+
+def test_term_vectors_and_losses(spark, tmp_path):
+    rows = [(i, ("dust cloud dust" if i % 2 else "halo mass halo") + f" w{i % 3}", "a" if i % 2 else "b") for i in range(40)]
+    df = spark.createDataFrame(rows, "paper_id bigint, combined_text string, category string")
+    vectors = classify.fit_term_vectors(df, "combined_text", 50)
+    weights = {(r["id"], r["term"]): r["weight"] for r in classify.tfidf(df, "paper_id", "combined_text", 50).collect()}
+    terms = vectors.getOrDefault(vectors.terms)
+    for r in vectors.transform(df).collect():
+        assert {terms[i]: round(v, 5) for i, v in zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True)} == {t: round(w, 5) for (i, t), w in weights.items() if i == r["paper_id"]}
+    model = classify.train_classifier(df, "v1")
+    losses = classify.loss_history(model)
+    assert {label for label, *_ in losses} == {"a", "b"} and losses[0][2] >= losses[-1][2]
+    model.write().overwrite().save(str(tmp_path / "m"))
+    from pyspark.ml import PipelineModel
+
+    again = classify.predict(PipelineModel.load(str(tmp_path / "m")), df)
+    assert all(r["predicted"] == r["category"] for r in again.collect())
+    with pytest.raises(NotImplementedError):
+        classify.train_network(df, backbone="some-model")
