@@ -8,9 +8,12 @@ for a whole block of vectors at once in carry-save counters. The window starts n
 its radius is reached. Vectors that collide on enough lines are compared exactly.
 
 A window on one line holds a fixed share of all rows, so counting over a whole table would be quadratic. The rows are
-therefore first sent to cells of similar vectors (fitted on a bounded sample, every row assigned), each row to its home
-cell and each query to the nearest ones; arrays and windows are kept per cell. The number of cells follows the number of
-rows: beyond ``LEAF`` of them a cell is a centroid together with a centroid of the residuals.
+therefore first sent to cells of similar vectors (fitted on a bounded sample, every row assigned); arrays and
+windows are kept per cell. Where all rows ask (``similar_vectors``), each is sent to its nearest cells and compared with all
+that were sent there, so two rows meet if any of their nearest cells is the same; their radius is one and the same, so
+each two are counted once, at the full window. Where queries ask a table (``search_similar``), each of its rows has a home
+cell only, the queries visit many, and their windows grow. The number of cells follows the number of rows: beyond
+``SINGLE`` or ``FLAT`` of them a cell is a centroid together with a centroid of the residuals, which is less exact.
 """
 
 from __future__ import annotations
@@ -32,8 +35,12 @@ PAIRS = "src_id bigint, dst_id bigint, sim double"
 LEAF = 4096
 #: Places of a sorted array, and places per unit of length on a line; unit vectors lie within 6 of zero but for 2e-9 of them.
 PLACES, STEP = 384, 32
-#: From so many cells on, cells are pairs of centroids.
-FLAT = 1024
+#: Beyond so many cells, cells are pairs of centroids: where queries visit many cells, and where all rows ask.
+FLAT, SINGLE = 1024, 32_768
+#: Lanes of one plane of a block, few enough to stay in a core's cache.
+PLANE = 1 << 20
+#: Most scores held at once when rows are assigned.
+SCORES = 1 << 22
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -53,8 +60,8 @@ def _unit(values: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    half = (centre**2).sum(axis=1) / 2
-    return np.concatenate([np.argmax(x[i : i + 8192] @ centre.T - half, axis=1) for i in range(0, len(x), 8192)])
+    half, block = (centre**2).sum(axis=1) / 2, max(64, min(8192, SCORES // len(centre)))
+    return np.concatenate([np.argmax(x[i : i + block] @ centre.T - half, axis=1) for i in range(0, len(x), block)])
 
 
 def fit_codebook(sample: np.ndarray, size: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -73,11 +80,14 @@ def fit_codebook(sample: np.ndarray, size: int, rounds: int = 6, seed: int = 7)
 class Cells:
     """Cells of similar unit vectors: the centroids of one codebook, or pairs of a centroid and a centroid of residuals."""
 
-    def __init__(self, sample: np.ndarray, wanted: int, seed: int = 7, flat: int = FLAT):
+    def __init__(self, sample: np.ndarray, wanted: int, seed: int = 7, flat: int = FLAT, level: bool = False):
         x = sample.astype(np.float32)
         first = wanted if wanted <= flat else int(np.ceil(np.sqrt(wanted)))
-        self.first = fit_codebook(x, min(first, LEAF), seed=seed)
+        # so few rows of the sample belong to each of very many centroids that two rounds settle them
+        self.first = fit_codebook(x, first if wanted <= flat else min(first, LEAF), rounds=6 if first <= LEAF else 2, seed=seed)
         self.second = None
+        if level and wanted <= flat:  # means of many rows are shorter and would draw still more of them
+            self.first /= np.maximum(np.linalg.norm(self.first, axis=1, keepdims=True), 1e-6)
         if wanted > flat:
             self.second = fit_codebook(x - self.first[_nearest(x, self.first)], min(first, LEAF), seed=seed + 1)
             self.cross = self.first @ self.second.T
@@ -85,7 +95,10 @@ class Cells:
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
         """(rows, probes): numbers of each row's nearest cells, the nearest first."""
-        x = x.astype(np.float32)
+        x, block = x.astype(np.float32), max(64, SCORES // len(self.first))
+        return np.concatenate([self._nearest(x[i : i + block], probes) for i in range(0, max(1, len(x)), block)])
+
+    def _nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
         score = x @ self.first.T - (self.first**2).sum(axis=1) / 2
         if self.second is None:
             return self._best(score, min(probes, self.count))
@@ -121,7 +134,8 @@ def sorted_prefixes(places: np.ndarray) -> np.ndarray:
 def neighbours_in_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asked: np.ndarray, lines: np.ndarray, k: int, least: np.ndarray, reach: float = 1.0, recall: float = 0.97, growth: float = 2.0, steps: int = 2, mutual: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(src id, dst id, similarity): up to k partners of each asked row among the cell's home rows with a similarity of at
     least the row's own ``least``, best first, ties by lower id; with ``mutual`` what a visitor found is a partner for the
-    home row, too. ``x`` holds unit vectors; an id may have several rows and is no partner of itself."""
+    home row, too. ``x`` holds unit vectors; an id may have several rows and is no partner of itself. With a single step in
+    which every row is both home and asked, each two rows are counted once."""
     mine, queries = np.flatnonzero(home), np.flatnonzero(asked)
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     if not len(mine) or not len(queries):
@@ -134,36 +148,46 @@ def neighbours_in_cell(ids: np.ndarray, x: np.ndarray, home: np.ndarray, asked:
     # places on a line in steps of 1 / STEP; windows are rounded outwards, so rounding loses nothing
     place = lambda v, up: np.clip((np.ceil if up else np.floor)(v * STEP) + PLACES // 2, 0, PLACES - 1 + up).astype(np.intp).T.copy()
     at = place(h[mine], 0)
-    arrays = [sorted_prefixes(at[j]) for j in range(len(lines))] if len(mine) <= 4096 else None
+    arrays = [sorted_prefixes(at[j]) for j in range(len(lines))] if len(mine) <= 32_768 else None
+    once = mutual and steps == 1 and len(mine) == len(queries) == len(x)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [none]
-    block = max(64, min(1024, (1 << 23) // len(mine)))
+    block, word = max(64, min(1024, PLANE // len(mine))), 0
     for start in range(0, len(queries), block):
         rows = queries[start : start + block]
         counter = SlicedCounter()
         before = None
+        if once and ((start >> 6) - word) * 8 > (len(mine) >> 6) - word:
+            # what comes before this block has already been compared with it; the arrays are cut now and then
+            if arrays:
+                arrays = [np.ascontiguousarray(a[:, (start >> 6) - word :]) for a in arrays]
+            word = start >> 6
+        y_left, own_left = y[word << 6 :], own[word << 6 :]
         for step in range(steps):
             width = (reach * radius[rows] / growth ** (steps - 1 - step))[:, None]
             left, right = place(h[rows] - width, 0), place(h[rows] + width, 1)
             for j in range(len(lines)):
-                prefix = arrays[j] if arrays else sorted_prefixes(at[j])
-                inside = prefix.take(left[j], axis=0) ^ prefix.take(right[j], axis=0)
+                prefix = arrays[j] if arrays else np.ascontiguousarray(sorted_prefixes(at[j])[:, word:])
+                inside = prefix.take(left[j], axis=0, mode="clip")
+                inside ^= prefix.take(right[j], axis=0, mode="clip")
                 if before:
-                    inside ^= prefix.take(before[0][j], axis=0)
-                    inside ^= prefix.take(before[1][j], axis=0)
+                    inside ^= prefix.take(before[0][j], axis=0, mode="clip")
+                    inside ^= prefix.take(before[1][j], axis=0, mode="clip")
                 counter.add(inside)
-            bits = np.unpackbits(counter.exceeds(low - 1).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")[:, : len(mine)]
-            if np.count_nonzero(bits) > bits.size / 64:  # so many are left that one product of matrices, nearly exact, goes first
-                q, p = np.nonzero(bits.view(bool) & (x32[rows] @ y32.T >= (least[rows, None] - 1e-4).astype(np.float32)))
-            else:
-                q, p = np.nonzero(bits.view(bool))
-            sim = np.concatenate([np.einsum("ij,ij->i", x[rows[q[i : i + 65_536]]], y[p[i : i + 65_536]]) for i in range(0, len(q), 65_536)] or [np.empty(0)])
-            keep = (sim >= least[rows[q]]) & (ids[rows[q]] != own[p])
+            lanes = counter.exceeds(low - 1)
+            q, p = np.nonzero(lanes)
+            bit, lane = np.nonzero(np.unpackbits(lanes[q, p].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            q, p = q[bit], (p[bit] << 6) + lane
+            if len(q) > len(rows) * len(own_left) / 64:  # so many are left that one product of matrices, nearly exact, goes first
+                close = (x32[rows] @ y32[word << 6 :].T >= (least[rows, None] - 1e-4).astype(np.float32))[q, p]
+                q, p = q[close], p[close]
+            sim = np.concatenate([np.einsum("ij,ij->i", x[rows[q[i : i + 65_536]]], y_left[p[i : i + 65_536]]) for i in range(0, len(q), 65_536)] or [np.empty(0)])
+            keep = (sim >= least[rows[q]]) & (ids[rows[q]] != own_left[p])
             q, p, sim = q[keep], p[keep], sim[keep]
             # a query is done at a narrow window once k partners lie within that window's own radius
             sure = np.bincount(q[sim >= 1 - (radius[rows[q]] / growth ** (steps - 1 - step)) ** 2 / 2], minlength=len(rows))
             done = np.ones(len(rows), bool) if step == steps - 1 else sure >= k
             keep = done[q]
-            found.append((ids[rows[q[keep]]], own[p[keep]], sim[keep]))
+            found.append((ids[rows[q[keep]]], own_left[p[keep]], sim[keep]))
             left_over = np.flatnonzero(~done)
             if not len(left_over):
                 break
@@ -207,13 +231,13 @@ def _search(rows: DataFrame, queries: DataFrame | None, total: int, dim: int, k:
     some_ids, some = _sample(rows, total, min(sample_rows, 32 * min(wanted, LEAF)), dim, seed)
     if not len(some):
         return spark.createDataFrame([], PAIRS)
-    cells = Cells(some, wanted, seed)
+    few, mutual = slice(0, 8192), queries is None
+    cells = Cells(some, wanted, seed, SINGLE if mutual else FLAT, level=mutual)
     near = min(cells.count, probes if probes is not None else 3 * int(np.ceil(np.sqrt(cells.count))))
     # cells that hold far more than others are cut into chunks by rows; every two chunks meet in a task of their own
-    crowd, rows_in = np.unique(cells.nearest(some, 1)[:, 0], return_counts=True)
+    crowd, rows_in = np.unique(cells.nearest(some, near if mutual else 1), return_counts=True)
     chunks = np.maximum(1, np.round(rows_in / len(some) * total / (8 * cell_rows))).astype(np.int64)
     crowd, chunks = crowd[chunks > 1], chunks[chunks > 1]
-    few, mutual = slice(0, 8192), queries is None
     bound = (some_ids[few], some[few].astype(np.float32)) if queries is not None else None
     shared = spark.sparkContext.broadcast((cells, crowd, chunks, bound))
     directions = np.random.default_rng(seed).standard_normal((lines, dim)).astype(np.float32)
@@ -240,7 +264,6 @@ def _search(rows: DataFrame, queries: DataFrame | None, total: int, dim: int, k:
                 floor = least_of(ids, x) if bound is not None and as_query else np.full(len(ids), least)
                 at = cells.nearest(x, near if as_query else 1)
                 row, cell = np.repeat(np.arange(len(ids)), at.shape[1]), at.ravel()
-                first = np.tile(np.arange(at.shape[1]) == 0, len(ids)) & as_home
                 times = np.ones(len(cell), np.int64)
                 if len(crowd):
                     place = np.minimum(np.searchsorted(crowd, cell), len(crowd) - 1)
@@ -248,14 +271,13 @@ def _search(rows: DataFrame, queries: DataFrame | None, total: int, dim: int, k:
                 own = (mixed(ids.view(np.uint64))[row] % times.astype(np.uint64)).astype(np.int64)
                 entry = np.repeat(np.arange(len(row)), times)
                 other = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
-                # a query meets the home rows of every chunk, a home row the queries of every chunk
-                parts = []
-                if as_query:
-                    parts.append((entry, own[entry], other, first[entry] & (own[entry] == other), np.ones(len(entry), bool)))
-                if as_home:
-                    rest = np.flatnonzero(first[entry] & ((own[entry] != other) | (not as_query)))
-                    parts.append((entry[rest], other[rest], own[entry[rest]], np.ones(len(rest), bool), np.zeros(len(rest), bool)))
-                entry, i, j, home, asked = (np.concatenate(p) for p in zip(*parts, strict=True))
+                mine = own[entry]
+                if mutual:  # every two chunks meet once, the rows of the lower one ask
+                    i, j = np.minimum(mine, other), np.maximum(mine, other)
+                    home, asked = mine == j, mine == i
+                else:  # a query meets the home rows of every chunk, a home row the queries of every chunk
+                    i, j = (mine, other) if as_query else (other, mine)
+                    home, asked = np.full(len(entry), as_home), np.full(len(entry), as_query)
                 raw = values.tobytes()
                 vec = [raw[a : a + 4 * dim] for a in range(0, len(raw), 4 * dim)]
                 of = row[entry]
@@ -274,7 +296,7 @@ def _search(rows: DataFrame, queries: DataFrame | None, total: int, dim: int, k:
         floor = np.full(len(first), -np.inf)
         np.maximum.at(floor, same.ravel(), group.column("least").to_numpy())
         held = group.column("vec").take(pa.array(first)).to_pylist()
-        q, p, s = neighbours_in_cell(ids[first], _unit(np.frombuffer(b"".join(held), np.float32), dim), is_home, is_asked, directions, k, floor, mutual=mutual)
+        q, p, s = neighbours_in_cell(ids[first], _unit(np.frombuffer(b"".join(held), np.float32), dim), is_home, is_asked, directions, k, floor, steps=1 if mutual else 2, mutual=mutual)
         return pa.table({"src_id": pa.array(q, pa.int64()), "dst_id": pa.array(p, pa.int64()), "sim": pa.array(s, pa.float64())})
 
     form = "cell bigint, i int, j int, home boolean, asked boolean, id bigint, class bigint, least double, vec binary"
@@ -284,7 +306,7 @@ def _search(rows: DataFrame, queries: DataFrame | None, total: int, dim: int, k:
     return sent.groupBy("cell", "i", "j").applyInArrow(search, PAIRS)
 
 
-def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, least: float = 0.8, lines: int = 48, cell_rows: int = 400, probes: int = 3, sample_rows: int = 65_536, seed: int = 11) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str = "embedding", dim: int = 128, k: int = 8, least: float = 0.8, lines: int = 48, cell_rows: int = 2000, probes: int = 4, sample_rows: int = 65_536, seed: int = 11) -> DataFrame:
     """(src_id, dst_id, sim, rank): for each id its k most similar other ids with cosine >= ``least``; ties by lower id.
 
     Approximate in which partners are found (windows and cells), exact in the similarity of those returned. Null, all-zero,
@@ -292,7 +314,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "paper_id", vec_col: str =
     ignored, an empty table gives no rows, other columns are not read. Where one id has several different vectors the
     best similarity counts. Classes of equal vectors take part with their k + 1 lowest ids, which is exact: no more of
     them can be among the first k of anyone, and the others' first k are the k lowest ids of their own class.
-    The cells are fitted on at most ``sample_rows`` rows; all rows are indexed.
+    The cells are fitted on at most ``sample_rows`` rows; all rows are indexed, each in its ``probes`` nearest cells, so
+    ``cell_rows`` rows a cell mean ``probes`` times as many in each.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col, dim)

@@ -133,3 +133,32 @@ def test_an_id_with_several_vectors(spark):
     got = {(r["src_id"], r["dst_id"]): r["sim"] for r in similar_vectors(frame(spark, [(1, a), (1, b), (2, a), (3, b), (1, a)]), dim=DIM, k=3).collect()}
     assert set(got) == {(1, 2), (2, 1), (1, 3), (3, 1)}
     assert all(abs(v - 1) < 1e-6 for v in got.values())
+
+
+def test_two_rows_meet_in_any_cell_that_is_near_both(spark):
+    # many cells for few rows, fitted on other rows than those of the pairs, as in a very large table
+    rng = np.random.default_rng(12)
+    alone = rng.standard_normal((4000, DIM))
+    one = rng.standard_normal((300, DIM))
+    other = one + 0.55 * np.linalg.norm(one, axis=1, keepdims=True) / np.sqrt(DIM) * rng.standard_normal((300, DIM))
+    x = np.concatenate([alone, one, other])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = Cells(alone, 1500, flat=4096, level=True)
+    assert cells.second is None and cells.count == 1500
+    assert np.allclose(np.linalg.norm(cells.first, axis=1), 1, atol=1e-5)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    found = {(r["src_id"], r["dst_id"]) for r in similar_vectors(frame(spark, rows), dim=DIM, cell_rows=3, sample_rows=1500, k=8).collect()}
+    want = {(i, j) for i, v in brute(list(range(len(x))), x, 8, 0.8).items() for j in v}
+    assert len(found & want) >= 0.85 * len(want)
+    assert found <= {(i, j) for i, v in brute(list(range(len(x))), x, 64, 0.8).items() for j in v}
+
+
+def test_each_two_rows_are_counted_once_and_found_both_ways():
+    rng = np.random.default_rng(13)
+    x = clusters(rng, 50, 10).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, lines = rng.permutation(len(x)), rng.standard_normal((64, DIM)).astype(np.float32)
+    all_rows, least = np.ones(len(x), bool), np.full(len(x), 0.8)
+    src, dst, _ = neighbours_in_cell(ids, x, all_rows, all_rows, lines, 4, least, steps=1)
+    want = {(i, j) for i, v in brute(ids.tolist(), x, 4, 0.8).items() for j in v}
+    assert len(set(zip(src.tolist(), dst.tolist(), strict=True)) & want) >= 0.97 * len(want)
