@@ -3,7 +3,9 @@ import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from noctiluca.plans import catalog
 from noctiluca.rag import retrieval, scoring
 
 
@@ -71,3 +73,45 @@ def test_blocks_keep_the_best():
         want = sorted((-s, i) for i, s in enumerate(scores[g]) if s)[:k]
         assert sorted(found[g])[:k] == [(round(s, 6), i) for s, i in want]
         assert len(found[g]) <= blocks * k
+
+
+def test_texts_of_wanted_items_only(spark):
+    """Up to a bound, texts of items that aren't wanted go into no shuffle, however the session joins."""
+    items = spark.createDataFrame([("a", "dust"), ("a", "Cold dust"), ("b", "gas"), ("c", None)], "item_id string, text string")
+    wanted = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "item_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = retrieval.least_texts(items, wanted)
+        assert "SortMergeJoin" not in texts._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in texts.collect()} == {("a", "Cold dust"), ("c", None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder of 3,000 questions that are asked and 30,000 chunks, most of which share words with each of them, and its rows."""
+    random = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(40)])
+    items = [(f"i{i}", " ".join([*words[random.integers(0, 40, 30)], *[f"r{i}"] * (i < 3_000)])) for i in range(30_000)]
+    queries = [(f"q{50 * i}", " ".join([*words[random.choice(40, 8, replace=False)], *[f"r{i}"] * (i % 2)])) for i in range(1, 3_001)]
+    folder = str(tmp_path_factory.mktemp("many"))
+    spark.createDataFrame(items, "chunk_id string, chunk_text string").write.parquet(f"{folder}/paper_chunks.parquet")
+    asked = [(q, t, t.split()[:3], [f"i{n}", f"i{n + 1}"]) for n, (q, t) in enumerate(queries)]
+    spark.createDataFrame(asked, "id string, question string, keywords array<string>, gold_chunks array<string>").write.parquet(f"{folder}/questions.parquet")
+    some = queries[40:46]
+    return folder, {q: t for q, t in some}, dict(items), by_hand(some, items, 10)
+
+
+def test_reranked_many(spark, many):
+    folder, asked, texts, found = many
+    began = time.time()
+    got = catalog.QUERIES["reranked"](spark, folder).collect()
+    assert time.time() - began < 45
+    assert len(got) == 15_000
+    for q, t in asked.items():
+        own = [(i, s) for x, i, s, _ in found if x == q]
+        top = max(s for _, s in own)
+        mixed = sorted((-round(0.5 * s / top + 0.5 * sum(w in texts[i] for w in t.split()[:3]) / 3, 6), i) for i, s in own)[:5]
+        assert sorted((-round(r["score"], 6), r["item_id"]) for r in got if r["query_id"] == q) == mixed
