@@ -115,3 +115,13 @@ def test_reranked_many(spark, many):
         top = max(s for _, s in own)
         mixed = sorted((-round(0.5 * s / top + 0.5 * sum(w in texts[i] for w in t.split()[:3]) / 3, 6), i) for i, s in own)[:5]
         assert sorted((-round(r["score"], 6), r["item_id"]) for r in got if r["query_id"] == q) == mixed
+
+
+def test_enough_evidence_many(spark, many):
+    folder, asked, _, found = many
+    began = time.time()
+    got = catalog.QUERIES["enough_evidence"](spark, folder).collect()
+    assert time.time() - began < 45
+    best = {q: max(s for x, _, s, _ in found if x == q) for q in asked}
+    assert {s >= 12 for s in best.values()} == {True, False}
+    assert {tuple(r) for r in got if r["query_id"] in asked} == {(q, i, r) for q, i, _, r in found if best[q] >= 12}
