@@ -125,3 +125,18 @@ def test_enough_evidence_many(spark, many):
     best = {q: max(s for x, _, s, _ in found if x == q) for q in asked}
     assert {s >= 12 for s in best.values()} == {True, False}
     assert {tuple(r) for r in got if r["query_id"] in asked} == {(q, i, r) for q, i, _, r in found if best[q] >= 12}
+
+
+def test_retrieval_metrics_many(spark, many):
+    folder, asked, _, found = many
+    began = time.time()
+    got = catalog.QUERIES["retrieval_metrics"](spark, folder).collect()
+    assert time.time() - began < 45
+    assert len(got) == 3_000
+    ranks = {(q, i): r for q, i, _, r in found}
+    for row in (r for r in got if r["query_id"] in asked):
+        n = int(row["query_id"][1:]) // 50 - 1
+        hits = sorted(ranks[row["query_id"], i] for i in (f"i{n}", f"i{n + 1}") if (row["query_id"], i) in ranks)
+        ndcg = sum(1 / math.log2(r + 1) for r in hits) / (1 + 1 / math.log2(3))
+        assert (row["recall"], row["reciprocal_rank"], row["ndcg"]) == pytest.approx((len(hits) / 2, 1 / hits[0] if hits else 0, ndcg), abs=1e-6)
+    assert any(r["recall"] > 0 for r in got if r["query_id"] in asked)
